@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions.text import let
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -55,11 +57,6 @@ def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(few(gone), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with value computed once, also where body uses it inside lambdas."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("int"), lambda a, x: a + x)
 
