@@ -20,8 +20,11 @@ def last_messages(turns: DataFrame, key: str, order: str, n: int = DEFAULT.histo
 
 
 def sessions(events: DataFrame, key: str, ts: str, hours: int = DEFAULT.session_hours) -> DataFrame:
-    """(key, started, ended, n): writes less than `hours` apart are one session. Works on streams with a watermark."""
-    g = events.groupBy(key, F.session_window(ts, f"{hours} hours")).agg(F.count("*").alias("n"), F.max(ts).alias("last"))
+    """(key, started, ended, n): writes less than `hours` apart are one session. Works on streams with a watermark.
+
+    Spark merges sessions that touch, so the gap is a microsecond shorter: exactly `hours` apart is expired.
+    """
+    g = events.groupBy(key, F.session_window(ts, f"{hours * 3_600_000_000 - 1} microseconds")).agg(F.count("*").alias("n"), F.max(ts).alias("last"))
     return g.select(key, F.col("session_window.start").alias("started"), F.col("last").alias("ended"), "n")
 
 
