@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.common import Scratch, texts
@@ -78,6 +78,13 @@ def band_of(docs: DataFrame, scratch: Scratch, least_df: int, share: float) -> n
     return band
 
 
+def slots(spark: SparkSession, n: int) -> Column:
+    """An array of n keys that hash partitioning deals to n different partitions."""
+    tried = spark.range(40 * n + 200).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id")).collect()  # n rows
+    found = {r["p"]: r["id"] for r in tried}
+    return F.array(*[F.lit(found.get(i, i)).cast("long") for i in range(n)])
+
+
 def fingerprint_edits(docs: DataFrame, least_df: int = 2, share: float = 0.1) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
 
@@ -98,7 +105,7 @@ def fingerprint_edits(docs: DataFrame, least_df: int = 2, share: float = 0.1) ->
     after = {heads[i][1]: heads[i - 1][0] for i in range(len(heads))}
     to = F.create_map(*[F.lit(x) for k, v in after.items() for x in (k, v)]) if after else F.create_map().cast("map<bigint,int>")
     extra = body.where(F.col("doc_id").isin(list(after))).groupBy("doc_id").agg(F.min("text").alias("text")).select("doc_id", "text", F.element_at(to, F.col("doc_id")).alias("part"), F.lit(True).alias("extra"))
-    rows = placed.withColumn("extra", F.lit(False)).unionByName(extra).repartition(parts, "part").sortWithinPartitions("part", F.col("doc_id").isNull(), "extra", "doc_id", "text")
+    rows = placed.withColumn("extra", F.lit(False)).unionByName(extra).withColumn("slot", slots(spark, parts)[F.col("part")]).repartition(parts, "slot").drop("slot").sortWithinPartitions("part", F.col("doc_id").isNull(), "extra", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         band = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
