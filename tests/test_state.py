@@ -44,8 +44,8 @@ def test_streams(spark, tmp_path):
     q = sessions.session_stream(src(), "user", "ts").writeStream.format("memory").queryName("closed").outputMode("append").option("checkpointLocation", f"{tmp_path}/c1").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r["user"], r["n"]) for r in spark.table("closed").collect()) == [(1, 4), (2, 1)]
-    q = sessions.rate_limit_stream(src(), "user", "ts", limit=3).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", f"{tmp_path}/c2").start()
-    q.processAllAvailable()
+    q = sessions.rate_limit_stream(src(), "user", "ts", limit=3).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", f"{tmp_path}/c2").trigger(once=True).start()
+    q.awaitTermination(60)
     q.stop()
     assert spark.table("limited").where("not admitted").count() == 1 and spark.table("limited").count() == 6
 

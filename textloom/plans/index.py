@@ -39,7 +39,7 @@ class Index:
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def current(self) -> dict | None:
-        p = self._path(f"{self.root}/_CURRENT")
+        p = self._path(f"{self.root}/CURRENT")
         if not self._fs.exists(p):
             return None
         return json.loads(self.spark.read.text(p.toString()).first()[0])
@@ -64,11 +64,11 @@ class Index:
         digest = content_hash(staged).first()["content_hash"]
         before = self.current()
         manifest = {"batch_id": batch_id, "content_hash": digest, "n": n, "changed": before is None or before["content_hash"] != digest}
-        out = self._fs.create(self._path(f"{self.root}/_CURRENT.tmp"), True)
+        out = self._fs.create(self._path(f"{self.root}/CURRENT.tmp"), True)
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        self._fs.delete(self._path(f"{self.root}/_CURRENT"), False)
-        self._fs.rename(self._path(f"{self.root}/_CURRENT.tmp"), self._path(f"{self.root}/_CURRENT"))
+        self._fs.delete(self._path(f"{self.root}/CURRENT"), False)
+        self._fs.rename(self._path(f"{self.root}/CURRENT.tmp"), self._path(f"{self.root}/CURRENT"))
         for f in self._fs.listStatus(self._path(self.root)):
             name = f.getPath().getName()
             if name.startswith("batch_id=") and name != f"batch_id={batch_id}":
