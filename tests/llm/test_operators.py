@@ -1,0 +1,213 @@
+"""Each operator against brute force or an exact round trip, with nulls, empty and repeated rows and clashing columns."""
+
+import base64
+import hashlib
+import itertools
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from textloom.llm import decontam, imatch, licenses, linededup, packing, pii, secrets, simhash, toxicity, warc
+
+DOC = "doc_id long, text string, fp int, key string, rank int, part int"
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, 1, "k", 2, 3) for i, t in rows], DOC)
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(n))
+
+
+def test_boundaries_are_optimal():
+    rng = random.Random(2)
+    for _ in range(20):
+        counts = np.array([0] + [rng.choice([0, 0, 1, 3, 9]) for _ in range(11)])
+        have = np.flatnonzero(counts)
+        if not len(have):
+            continue
+        pad = lambda cuts: sum(counts[x] * (min(c for c in cuts if c >= x) - x) for x in have)
+        k = min(3, len(have))
+        best = min(pad([*c, have[-1]]) for c in itertools.combinations(have[:-1], k - 1)) if k > 1 else pad([have[-1]])
+        assert pad(packing.boundaries(counts, 3)) == best
+    assert packing.boundaries(np.zeros(4, int), 3) == []
+
+
+def test_packing(spark):
+    df = docs(spark, [(1, "a b c"), (1, "a b c"), (2, ""), (3, None), (4, " ".join(["w"] * 25)), (None, "x")])
+    rows = packing.pack(df, context=10, buckets=2, budget=20, blocks=4).collect()
+    assert sorted((r["doc_id"] or 0, r["piece"], r["n_tokens"]) for r in rows) == [(0, 0, 1), (1, 0, 3), (1, 0, 3), (4, 0, 10), (4, 1, 10), (4, 2, 5)]
+    seen = {(r["bucket"], r["batch"], r["slot"]) for r in rows}
+    assert len(seen) == len(rows) and all(r["slot"] * r["bucket"] < 20 and r["padding"] == r["bucket"] - r["n_tokens"] for r in rows)
+    assert packing.pack(df.limit(0)).count() == 0
+
+
+def test_licenses(spark):
+    rows = [(1, "words here. Licensed under the Apache License,\nVersion 2.0. More"), (2, None), (3, ""), (4, "nothing to see"), (5, "Released under the MIT License."), (5, "Released under the MIT License.")]
+    got = {(r["doc_id"], r["license"], r["dice"]) for r in licenses.scan_licenses(docs(spark, rows)).collect()}
+    assert got == {(1, "apache-2.0", 1.0), (5, "mit", 1.0)}
+
+
+def test_pii_context(spark):
+    rng = random.Random(3)
+    rows = [(i, f"{prose(rng, 5)} member phone: +1 555 010 {1000 + i} {prose(rng, 5)}") for i in range(12)]
+    rows += [(20, "x member phone: 555-0199 y"), (21, "see 555-0199 and lot-77123"), (22, None), (23, ""), (24, "a.b@c.de é 1.2.3.4 999.1.1.1")]
+    got = {r["doc_id"]: r for r in pii.find_personal_data(docs(spark, rows)).collect()}
+    assert got[20]["spans"] == "context_phone:16:24" and got[20]["n_phone"] == 0
+    assert got[21]["spans"] == "" and got[22]["spans"] == "" == got[23]["spans"]
+    assert got[24]["spans"] == "email:0:8,ip:11:18"
+    assert got[24]["base_sha256"] == hashlib.sha256(b"email:0:8,ip:11:18").hexdigest()
+
+
+def test_secrets(spark):
+    key = "zQ7xK2mP9vL4nR8tY3wB6cF1"
+    rows = [(1, f"é API_KEY: 'abc123def' x {key} y"), (2, "123e4567-e89b-12d3-a456-426614174000 " + "a" * 40), (3, None), (4, "AKIA" + "A" * 15 + " token=abc " + "0123456789abcdef01234567"), (5, ("q" + key) * 40)]
+    got = {r["doc_id"]: r for r in secrets.find_secrets(docs(spark, rows)).collect()}
+    assert got[1]["spans"] == "assign:2:21,entropy_mixed:25:49" and got[1]["n_assign"] == 1
+    assert got[2]["spans"] == "" == got[3]["spans"]
+    assert got[4]["spans"] == "hex:31:55" and got[4]["n_access"] == 0
+    spans = [tuple(map(int, s.split(":")[1:])) for s in got[5]["spans"].split(",")]
+    assert spans[0][0] == 0 and spans[-1][1] == 1000 and all(a[1] >= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_entropy_matches_direct(spark):
+    rng = random.Random(5)
+    rows = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(18, 60))) for _ in range(30)]
+
+    def direct(s, bits, w=20):
+        at = [i for i in range(len(s) - w + 1) if -sum((c := s[i : i + w].count(ch) / w) * np.log2(c) for ch in set(s[i : i + w])) > bits + 1e-9]
+        return (at[0], at[-1] + w) if at else (-1, -1)
+
+    got = spark.createDataFrame([(i, s) for i, s in enumerate(rows)], "i int, s string").select("i", secrets.high_entropy(F.col("s"), 3.3).alias("r")).select("i", "r.lo", "r.hi").collect()
+    assert {r["i"]: (r["lo"], r["hi"]) for r in got} == {i: direct(s, 3.3) for i, s in enumerate(rows)}
+
+
+def test_warc(spark):
+    inner = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:textloom:page:99>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    pages = {1: "a", 2: "a", 3: None, 4: "", 5: "x" + inner + "y", 6: "é" + inner + "WARC/1.1\r\n", 7: "WARC/1.1\r\n"}
+    got = {r["page_id"]: r for r in warc.round_trip(spark.createDataFrame([(i, "u", h, 0) for i, h in pages.items()], "page_id long, url string, html string, size int")).collect()}
+    assert set(got) == set(pages)
+    for i, h in pages.items():
+        body = (h or "").encode()
+        assert (got[i]["payload_bytes"], got[i]["payload_digest"]) == (len(body), base64.b32encode(hashlib.sha1(body).digest()).decode())
+    assert [(got[i]["record_type"], got[i]["refers_to"]) for i in (1, 2, 3, 4)] == [("revisit", 2), ("response", None), ("revisit", 4), ("response", None)]
+
+
+def test_toxicity(spark):
+    rng = random.Random(1)
+    rows = [(i, prose(rng, 60) + (" vile brute " if i % 3 == 0 else " ") + prose(rng, 20)) for i in range(300)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    got = toxicity.classify(docs(spark, rows + [(900, None), (901, "")]), labels).collect()
+    right = [r["predicted"] == int(r["doc_id"] % 3 == 0) for r in got if r["doc_id"] < 300 and r["held_out"]]
+    assert sum(right) / len(right) > 0.9 and all(0 <= r["score"] <= 1 for r in got)
+    assert {round(r["score"], 6) for r in got if r["doc_id"] >= 900} == {round([r["score"] for r in got if r["doc_id"] == 900][0], 6)}
+
+
+def test_gradients():
+    rng = np.random.default_rng(0)
+    ws = [b"", b"ab", b"cde", b"fg"]
+    net = toxicity.Network({b"ab": 1, b"cde": 2}, 1)
+    for k in net.p:
+        net.p[k] = net.p[k].astype(np.float64)
+    ids, mask = rng.integers(1, 4, (3, toxicity.LENGTH)), np.ones((3, toxicity.LENGTH))
+    mask[1, 5:] = 0
+    y = np.array([1.0, 0, 1])
+
+    def loss():
+        p = toxicity.sigmoid(net.run(net.project(net.inputs(ws)[0].astype(np.float64)), ids, mask))
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    g = net.gradients(ws, ids, mask, y)
+    for k in ("uf", "wb", "cf", "att", "out"):
+        at = tuple(0 for _ in net.p[k].shape)
+        old, e = net.p[k][at], 1e-3
+        net.p[k][at] = old + e
+        hi = loss()
+        net.p[k][at] = old - e
+        lo = loss()
+        net.p[k][at] = old
+        assert abs((hi - lo) / (2 * e) - g[k][at]) < 2e-3 + 0.1 * abs(g[k][at]), k
+
+
+def brute_lines(rows, least):
+    lines = [(i, [(p, x) for p, x in enumerate((t or "").split("\n")) if x.split()]) for i, t in rows]
+    out = {}
+    for n, (i, a) in enumerate(lines):
+        dead = set()
+        for q in range(len(a)):
+            for m in range(n + 1):
+                for e in range(q if m == n else len(lines[m][1])):
+                    b, k, w = lines[m][1], 0, 0
+                    while q + k < len(a) and e + k < len(b) and a[q + k][1] == b[e + k][1]:
+                        w += len(a[q + k][1].split())
+                        k += 1
+                    if w >= least:
+                        dead |= {a[q + j][0] for j in range(k)}
+        out[i] = dead
+    return out
+
+
+def test_line_dedup(spark):
+    rng = random.Random(4)
+    pool = [prose(rng, rng.randint(1, 12)) for _ in range(8)] + ["", "  "]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 14)))) for i in range(30)] + [(40, None), (41, "")]
+    want = brute_lines(rows, 20)
+    got = linededup.dedup_lines(docs(spark, rows), 20).collect()
+    for r in got:
+        t = dict(rows)[r["doc_id"]] or ""
+        assert [x for x in r["text"].split("\n") if x.split()] == [x for p, x in enumerate(t.split("\n")) if p not in want[r["doc_id"]] and x.split()], r["doc_id"]
+    assert len(got) == len(rows)
+
+
+@pytest.mark.parametrize("hot", [2000, 3])
+def test_simhash(spark, hot):
+    rng = random.Random(6)
+    base = [prose(rng, 300) for _ in range(6)]
+    rows = [(10 * k + j, b if j == 0 else " ".join(w if rng.random() > 0.004 else "zz" for w in b.split())) for k, b in enumerate(base) for j in range(6)]
+    rows += [(100, None), (101, ""), (102, "A b"), (103, "a  b"), (None, base[0])]
+    got = simhash.simhash_components(docs(spark, rows), hot=hot).collect()
+    fp = [(i, simhash.fingerprint(simhash.shingle_hashes(t or "", 4)) & (1 << 64) - 1) for i, t in rows]
+    root = list(range(len(fp)))
+    for _ in fp:
+        for a, b in itertools.combinations(range(len(fp)), 2):
+            if (fp[a][1] ^ fp[b][1]).bit_count() <= 4:
+                root[a] = root[b] = min(root[a], root[b])
+    low = {}
+    for k, (i, _) in enumerate(fp):
+        if i is not None:
+            low[root[k]] = min(low.get(root[k], i), i)
+    want = sorted((i if i is not None else -1, f"{v:016x}", low[root[k]]) for k, (i, v) in enumerate(fp))
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["fingerprint"], r["component_id"]) for r in got) == want
+
+
+def test_near_duplicates(spark):
+    rng = random.Random(8)
+    base = [prose(rng, 300) for _ in range(5)]
+    rows = [(10 * k, b) for k, b in enumerate(base)] + [(10 * k + 1, " ".join(w if n % 97 else "zz" for n, w in enumerate(b.split()))) for k, b in enumerate(base)] + [(70, base[2]), (71, None), (72, "")]
+    got = {r["doc_id"]: r["first"] for r in simhash.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {10 * k: 10 * k for k in range(5)} | {10 * k + 1: 10 * k for k in range(5)} | {70: 20, 71: 71, 72: 71}
+
+
+def test_decontamination(spark):
+    rng = random.Random(9)
+    items = [(k, prose(rng, n)) for k, n in enumerate((5, 9, 30, 64, 200))] + [(9, "too short"), (10, None)]
+    rows = [(k, prose(rng, 700) + " " + t.upper().replace(" ", ", ") + "! " + prose(rng, 40)) for k, t in items[:5]] + [(50, prose(rng, 300)), (51, None), (52, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["containment"]) for r in decontam.contaminated(docs(spark, rows), bench).collect()}
+    assert got == {(k, k, 1.0) for k in range(5)} == {(r["doc_id"], r["item_id"], r["containment"]) for r in decontam.contaminated(docs(spark, rows), bench, items_a_pass=2).collect()}
+    assert decontam.contaminated(docs(spark, rows), bench.limit(0)).count() == 0
+
+
+def test_imatch(spark):
+    rng = random.Random(10)
+    rows = [(i, prose(rng, rng.choice([0, 1, 50, 200]))) for i in range(40)] + [(40, "é" * 9), (41, None), (None, "abc def gh")]
+    got = {r["doc_id"]: r for r in imatch.fingerprint_edits(docs(spark, rows)).collect()}
+    order = [(i, t or "") for i, t in rows if i is not None]
+    for k, (i, t) in enumerate(order):
+        nxt, q = order[(k + 1) % len(order)][1], len(t) // 4
+        assert got[i]["n_chars"] == len(t) and got[i]["edited_sha256"] == hashlib.sha256((t[: len(t) - q] + nxt[:q]).encode()).hexdigest(), i
+    assert got[None]["edited_sha256"] == hashlib.sha256(b"abc def ").hexdigest()
+    assert imatch.fingerprint_edits(docs(spark, rows).limit(0)).count() == 0

@@ -172,13 +172,14 @@ def sampled_keys(tables: int, width: int) -> list[list[int]]:
     return [sorted(rng.choice(64, width, replace=False).tolist()) for _ in range(tables)]
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 18, tables: int = 64, width: int = 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 18, tables: int = 64, width: int = 40, reach: int = 3) -> DataFrame:
     """(doc_id, first): rows whose word shingles have a Jaccard similarity of `similarity` or more link;
     first is the smallest doc_id that links reach. Rows with a null doc_id are left out.
 
     Texts this similar differ in about 10 of 64 bits and in up to `bits`, too many for bit groups.
-    Fingerprints are sorted by `tables` keys of `width` sampled bits; neighbours in a sorted table are
-    candidates, so candidates grow with the rows and not with the square of a group. The pivot table
+    Fingerprints are sorted by `tables` keys of `width` sampled bits, and each is held against the next
+    `reach` of every sorted table: those that share the longest prefix of sampled bits, however many rows
+    there are. So candidates grow with the rows and not with the square of a group. The pivot table
     and the distance discard pairs, and the shingle sets themselves decide. Empty texts are alike.
     """
     spark = docs.sparkSession
@@ -207,15 +208,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, bi
                 continue
             key, fp, ids = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             if last is not None:
-                key, fp, ids = (np.concatenate([[x], y]) for x, y in zip(last, (key, fp, ids), strict=True))
-            last = (key[-1], fp[-1], ids[-1])
+                key, fp, ids = (np.concatenate([x, y]) for x, y in zip(last, (key, fp, ids), strict=True))
+            held = 0 if last is None else len(last[0])
+            last = (key[-reach:], fp[-reach:], ids[-reach:])
             u = fp.astype(np.int64).view(np.uint64)
-            at = np.flatnonzero(key[1:] == key[:-1])
+            x, y = (np.concatenate(v) for v in zip(*[(np.arange(len(u) - k), np.arange(k, len(u))) for k in range(1, reach + 1) if len(u) > k], strict=True)) if len(u) > 1 else (np.zeros(0, np.int64),) * 2
+            new = (y >= held) & (key[x] >> width == key[y] >> width)
+            x, y = x[new], y[new]
             for p in table:  # the pivot test, one coordinate at a time
-                d = np.bitwise_count(u[at] ^ p).astype(np.int16) - np.bitwise_count(u[at + 1] ^ p).astype(np.int16)
-                at = at[np.abs(d) <= bits]
-            at = at[np.bitwise_count(u[at] ^ u[at + 1]) <= bits]
-            x, y = np.minimum(ids[at], ids[at + 1]), np.maximum(ids[at], ids[at + 1])
+                d = np.bitwise_count(u[x] ^ p).astype(np.int16) - np.bitwise_count(u[y] ^ p).astype(np.int16)
+                near = np.abs(d) <= bits
+                x, y = x[near], y[near]
+            near = np.bitwise_count(u[x] ^ u[y]) <= bits
+            x, y = np.minimum(ids[x[near]], ids[y[near]]), np.maximum(ids[x[near]], ids[y[near]])
             yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)), pa.array(y.astype(np.int64))], ["a", "b"])
 
     keys = only.select(F.col("rep").alias("doc_id"), "fp").mapInArrow(keyed, "key long, fp long, doc_id long")
