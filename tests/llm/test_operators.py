@@ -64,11 +64,11 @@ def test_pii_context(spark):
 
 def test_secrets(spark):
     key = "zQ7xK2mP9vL4nR8tY3wB6cF1"
-    rows = [(1, f"é API_KEY: 'abc123def' x {key} y"), (2, "123e4567-e89b-12d3-a456-426614174000 " + "a" * 40), (3, None), (4, "AKIA" + "A" * 15 + " token=abc " + "0123456789abcdef01234567"), (5, ("q" + key) * 40)]
+    rows = [(1, f"é API_KEY: 'abc123def' x {key} y"), (2, "123e4567-e89b-12d3-a456-426614174000 " + "g" * 40), (3, None), (4, "AKIA" + "A" * 15 + " token=abc " + "0123456789abcdef01234567"), (5, ("q" + key) * 40)]
     got = {r["doc_id"]: r for r in secrets.find_secrets(docs(spark, rows)).collect()}
     assert got[1]["spans"] == "assign:2:21,entropy_mixed:25:49" and got[1]["n_assign"] == 1
     assert got[2]["spans"] == "" == got[3]["spans"]
-    assert got[4]["spans"] == "hex:31:55" and got[4]["n_access"] == 0
+    assert got[4]["spans"] == "hex:30:54" and got[4]["n_access"] == 0
     spans = [tuple(map(int, s.split(":")[1:])) for s in got[5]["spans"].split(",")]
     assert spans[0][0] == 0 and spans[-1][1] == 1000 and all(a[1] >= b[0] for a, b in zip(spans, spans[1:]))
 
