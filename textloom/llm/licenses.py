@@ -56,7 +56,7 @@ def probes(templates: dict[str, str], least: float) -> list[str]:
     out: set[str] = set()
     for t in templates.values():
         own = bigrams(t)
-        out |= set(sorted(own, key=lambda b: (used[b], b))[: len(own) - ceil(least * len(own) / (2 - least) - 1e-9) + 1])
+        out |= set(sorted(own, key=lambda b: (used[b], -len(b), b))[: len(own) - ceil(least * len(own) / (2 - least) - 1e-9) + 1])
     return sorted(out)
 
 
