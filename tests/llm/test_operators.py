@@ -191,6 +191,27 @@ def test_near_duplicates(spark):
     assert got == {10 * k: 10 * k for k in range(5)} | {10 * k + 1: 10 * k for k in range(5)} | {70: 20, 71: 71, 72: 71}
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(12):
+        base = prose(rng, rng.choice([12, 60, 400])).split()
+        for j in range(5):
+            rows.append((100 * k + j, " ".join(w if rng.random() > 0.01 * j else f"z{rng.randint(0, 9)}" for w in base)))
+    base = prose(rng, 200).split()  # one group that is larger than a band's group of pairs
+    rows += [(5000 + j, " ".join(base[:j] + ["y"] + base[j:])) for j in range(0, 200, 4)]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+    for _ in rows:
+        for a, b in itertools.combinations(range(len(rows)), 2):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                root[a] = root[b] = min(root[a], root[b])
+    got = {r["doc_id"]: r["first"] for r in simhash.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {i: rows[root[k]][0] for k, (i, _) in enumerate(rows)}
+    assert len(set(got.values())) < len(got)
+    assert simhash.near_duplicates(docs(spark, rows[:1]).limit(0)).count() == 0
+
+
 def test_decontamination(spark):
     rng = random.Random(9)
     items = [(k, prose(rng, n)) for k, n in enumerate((5, 9, 30, 64, 200))] + [(9, "too short"), (10, None)]

@@ -27,6 +27,11 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 GROUPS = (11, 11, 11, 11, 10, 10)
 N_PIVOTS = 8
 CHUNK = 1 << 16
+#: Bands of minimum hashes for the similarity of shingle sets, and the factors and shifts of the hash functions.
+BANDS, ROWS = 20, 5
+MINHASH_CHUNK = 1 << 13
+FOLD = np.uint64(0x9E3779B97F4A7C15)
+FACTORS, SHIFTS = (np.random.default_rng(seed).integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(odd) for seed, odd in ((31, 1), (32, 0)))
 
 
 def shingle_bounds(text: str, words: int) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -166,66 +171,81 @@ def simhash_components(docs: DataFrame, words: int = 4, bits: int = 4, hot: int
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def sampled_keys(tables: int, width: int) -> list[list[int]]:
-    """Bit positions of each key, drawn once with a fixed seed."""
-    rng = np.random.default_rng(20)
-    return [sorted(rng.choice(64, width, replace=False).tolist()) for _ in range(tables)]
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """BANDS keys of a set of shingle hashes, each of ROWS minimum hashes; equal sets have equal keys."""
+    x = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
+    low = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    for i in range(0, len(x), MINHASH_CHUNK):
+        low = np.minimum(low, (x[None, i : i + MINHASH_CHUNK] * FACTORS[:, None] + SHIFTS[:, None]).min(1))
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64) * FOLD
+    for part in low.reshape(BANDS, ROWS).T:
+        keys = (keys ^ part) * FOLD
+        keys ^= keys >> np.uint64(29)
+    return keys.view(np.int64)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 18, tables: int = 64, width: int = 40, reach: int = 3) -> DataFrame:
-    """(doc_id, first): rows whose word shingles have a Jaccard similarity of `similarity` or more link;
-    first is the smallest doc_id that links reach. Rows with a null doc_id are left out.
+def sketches(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, h, n, fp, bands) of every row: hash and length of the text, fingerprint and band keys of its set of shingles."""
 
-    Texts this similar differ in about 10 of 64 bits and in up to `bits`, too many for bit groups.
-    Fingerprints are sorted by `tables` keys of `width` sampled bits, and each is held against the next
-    `reach` of every sorted table: those that share the longest prefix of sampled bits, however many rows
-    there are. So candidates grow with the rows and not with the square of a group. The pivot table
-    and the distance discard pairs, and the shingle sets themselves decide. Empty texts are alike.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "neardup")
-    body = texts(docs).where("doc_id is not null")
-    rows = scratch.save(fingerprints(body.withColumn("h", F.xxhash64("text")).withColumn("n", F.length("text")), words, ["h", "n"]), "rows")
-    only = scratch.save(rows.groupBy("h", "n").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp")), "only")
-    chosen = sampled_keys(tables, width)
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, fps = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-            u = fps.view(np.uint64)
-            for n, at in enumerate(chosen):
-                key = np.full(len(u), n, np.int64)
-                for i in at:
-                    key = (key << 1) | ((u >> np.uint64(i)) & np.uint64(1)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps), pa.array(ids)], ["key", "fp", "doc_id"])
+            sets = (np.unique(shingle_hashes(t.as_py(), words)) for t in b.column(3))
+            fps, bands = zip(*[(fingerprint(s), band_keys(s)) for s in sets], strict=True) if b.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "h", "n", "fp", "bands"])
+
+    rows = texts(docs).select("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("n"), "text")
+    return rows.mapInArrow(run, "doc_id long, h long, n int, fp long, bands array<long>")
 
+
+def met_pairs(keys: DataFrame, reach: int, bits: int) -> DataFrame:
+    """(a, b) of rows (key, fp, doc_id) with equal keys, at most `reach` places apart in sorted partitions,
+    that the pivot table and the distance of the fingerprints don't discard."""
     table = np.array(pivots(), np.int64).view(np.uint64)
 
-    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
         for b in batches:
-            if not b.num_rows:
-                continue
-            key, fp, ids = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            if last is not None:
-                key, fp, ids = (np.concatenate([x, y]) for x, y in zip(last, (key, fp, ids), strict=True))
-            held = 0 if last is None else len(last[0])
-            last = (key[-reach:], fp[-reach:], ids[-reach:])
-            u = fp.astype(np.int64).view(np.uint64)
-            x, y = (np.concatenate(v) for v in zip(*[(np.arange(len(u) - k), np.arange(k, len(u))) for k in range(1, reach + 1) if len(u) > k], strict=True)) if len(u) > 1 else (np.zeros(0, np.int64),) * 2
-            new = (y >= held) & (key[x] >> width == key[y] >> width)
-            x, y = x[new], y[new]
-            for p in table:  # the pivot test, one coordinate at a time
-                d = np.bitwise_count(u[x] ^ p).astype(np.int16) - np.bitwise_count(u[y] ^ p).astype(np.int16)
-                near = np.abs(d) <= bits
-                x, y = x[near], y[near]
-            near = np.bitwise_count(u[x] ^ u[y]) <= bits
-            x, y = np.minimum(ids[x[near]], ids[y[near]]), np.maximum(ids[x[near]], ids[y[near]])
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)), pa.array(y.astype(np.int64))], ["a", "b"])
-
-    keys = only.select(F.col("rep").alias("doc_id"), "fp").mapInArrow(keyed, "key long, fp long, doc_id long")
-    near = keys.repartitionByRange("key", "fp", "doc_id").sortWithinPartitions("key", "fp", "doc_id").mapInArrow(neighbours, "a long, b long").distinct()
-    near = scratch.save(near, "near")
+            key, fp, ids = (np.concatenate([x, b.column(i).to_numpy(zero_copy_only=False)]) for i, x in enumerate(tail))
+            held, tail = len(tail[0]), [key[-reach:], fp[-reach:], ids[-reach:]]
+            u = fp.view(np.uint64)
+            for k in range(1, reach + 1):
+                x = np.flatnonzero(key[:-k] == key[k:])
+                x = x[x + k >= held]
+                for p in table:  # one coordinate at a time
+                    d = np.bitwise_count(u[x] ^ p).astype(np.int16) - np.bitwise_count(u[x + k] ^ p).astype(np.int16)
+                    x = x[np.abs(d) <= bits]
+                x = x[np.bitwise_count(u[x] ^ u[x + k]) <= bits]
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[x + k])), pa.array(np.maximum(ids[x], ids[x + k]))], ["a", "b"])
+
+    return keys.select("key", "fp", "doc_id").mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 22, reach: int = 15, hot_reach: int = 4) -> DataFrame:
+    """(doc_id, first): rows whose sets of word shingles have a Jaccard similarity of `similarity` or more
+    link; first is the smallest doc_id that links reach. Rows with a null doc_id are left out.
+
+    Texts this similar differ in about 10 of 64 bits, too many for bit groups, so pairs are met by an
+    equal band of minimum hashes: a pair at 0.8 shares none of 20 bands of 5 once in 3000 times, with
+    however many rows. All pairs of a band's group of up to reach + 1 distinct texts are tested. Larger
+    groups are sorted by fingerprint, in another order for each band, and dealt out in ranges; each
+    text is tested with the next `hot_reach`, so candidates grow with the rows and not with the square
+    of a group. The pivot table and the distance discard pairs, and the shingle sets themselves
+    decide. Texts without words are alike. An empty table gives an empty result.
+    """
+    scratch = Scratch(docs.sparkSession, "neardup")
+    body = texts(docs).where("doc_id is not null")
+    rows = scratch.save(sketches(body, words), "rows")
+    only = rows.groupBy("h", "n").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    keys = only.select("doc_id", "fp", F.posexplode("bands").alias("band", "key"))
+    keys = scratch.save(keys, "keys")
+    large = scratch.save(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > reach + 1).select("key"), "large")
+    large = few(large)
+    near = met_pairs(keys.join(large, "key", "left_anti").repartition("key").sortWithinPartitions("key"), reach, bits)
+    turned = F.expr("shiftleft(fp, 3 * band) | shiftrightunsigned(fp, 64 - 3 * band)").alias("turned")
+    crowd = keys.join(large, "key").select("key", "fp", "doc_id", turned)
+    near = near.union(met_pairs(crowd.repartitionByRange("key", "turned", "doc_id").sortWithinPartitions("key", "turned", "doc_id"), hot_reach, bits))
+    near = scratch.save(near.distinct(), "near")
     ends = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
     ends = scratch.save(ends, "ends")
     sets = scratch.save(_shingle_sets(body.join(few(ends), "doc_id").dropDuplicates(["doc_id"]), words), "sets")
@@ -243,7 +263,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, bi
 
     linked = pairs.select("a", "b", "sa", "sb").mapInArrow(decide, "a long, b long")
     roots = components(linked, scratch)
-    named = only.join(roots, F.col("rep") == F.col("node"), "left").select("h", "n", F.coalesce("root", "rep").alias("first"))
+    groups = rows.groupBy("h", "n").agg(F.min("doc_id").alias("rep"))
+    named = groups.join(roots, F.col("rep") == F.col("node"), "left").select("h", "n", F.coalesce("root", "rep").alias("first"))
     return rows.join(named, ["h", "n"]).select("doc_id", "first")
 
 
