@@ -221,6 +221,26 @@ def met_pairs(keys: DataFrame, reach: int, bits: int) -> DataFrame:
     return keys.select("key", "fp", "doc_id").mapInArrow(run, "a long, b long")
 
 
+def hub_pairs(crowd: DataFrame, scratch: Scratch, bits: int) -> DataFrame:
+    """(a, b) of each row (key, fp, doc_id) and two hubs of its key: the smallest doc_id and the one whose
+    fingerprint is nearest to the majority of the key's fingerprints, bit by bit."""
+    ones = [F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1))).alias(f"s{i}") for i in range(64)]
+    sums = crowd.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "fp")).alias("first"), *ones)
+    centre = F.lit(0).cast("long")
+    for i in range(64):
+        centre = centre.bitwiseOR(F.when(2 * F.col(f"s{i}") > F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)))
+    centres = scratch.save(sums.select("key", "first", centre.alias("centre")), "centres")
+    off = F.bit_count(F.col("fp").bitwiseXOR(F.col("centre")))
+    nearest = F.min(F.struct(off.alias("off"), "doc_id", "fp"))
+    hubs = crowd.join(few(centres), "key").groupBy("key").agg(nearest.alias("mid"), F.min("first").alias("first"))
+    hubs = hubs.select("key", F.explode(F.array(F.struct("mid.doc_id", "mid.fp"), "first")).alias("hub"))
+    met = crowd.join(few(scratch.save(hubs, "hubs")), "key").where("doc_id != hub.doc_id")
+    for v in pivots():
+        met = met.where(F.abs(F.bit_count(F.col("fp").bitwiseXOR(F.lit(v))) - F.bit_count(F.col("hub.fp").bitwiseXOR(F.lit(v)))) <= bits)
+    met = met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("hub.fp"))) <= bits)
+    return met.select(F.least("doc_id", "hub.doc_id").alias("a"), F.greatest("doc_id", "hub.doc_id").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 22, reach: int = 15, hot_reach: int = 4) -> DataFrame:
     """(doc_id, first): rows whose sets of word shingles have a Jaccard similarity of `similarity` or more
     link; first is the smallest doc_id that links reach. Rows with a null doc_id are left out.
@@ -229,8 +249,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, bi
     equal band of minimum hashes: a pair at 0.8 shares none of 20 bands of 5 once in 3000 times, with
     however many rows. All pairs of a band's group of up to reach + 1 distinct texts are tested. Larger
     groups are sorted by fingerprint, in another order for each band, and dealt out in ranges; each
-    text is tested with the next `hot_reach`, so candidates grow with the rows and not with the square
-    of a group. The pivot table and the distance discard pairs, and the shingle sets themselves
+    text is tested with the next `hot_reach` and with two hubs, so candidates grow with the rows and
+    not with the square of a group. The pivot table and the distance discard pairs, and the shingle sets themselves
     decide. Texts without words are alike. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "neardup")
@@ -244,6 +264,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, bi
     near = met_pairs(keys.join(large, "key", "left_anti").repartition("key").sortWithinPartitions("key"), reach, bits)
     turned = F.expr("shiftleft(fp, 3 * band) | shiftrightunsigned(fp, 64 - 3 * band)").alias("turned")
     crowd = keys.join(large, "key").select("key", "fp", "doc_id", turned)
+    near = near.union(hub_pairs(crowd, scratch, bits))
     near = near.union(met_pairs(crowd.repartitionByRange("key", "turned", "doc_id").sortWithinPartitions("key", "turned", "doc_id"), hot_reach, bits))
     near = scratch.save(near.distinct(), "near")
     ends = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
