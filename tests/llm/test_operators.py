@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.llm import decontam, imatch, licenses, linededup, packing, pii, secrets, simhash, toxicity, warc
+from textloom.llm.common import Scratch
 
 DOC = "doc_id long, text string, fp int, key string, rank int, part int"
 
@@ -212,6 +213,24 @@ def test_near_duplicates_at_the_threshold(spark):
     assert simhash.near_duplicates(docs(spark, rows[:1]).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [7, 1024])
+def test_outside_pairs_pass_over_no_link(spark, block):
+    rng = random.Random(21)
+    rows = []
+    for i in range(400):
+        key, fp = i % 4, rng.getrandbits(64)
+        fp = (fp & rng.getrandbits(64) & rng.getrandbits(64)) - (1 << 63)  # about eight bits set
+        rows.append((key, fp, 1000 + i, 1000 + i if key and rng.random() < 0.3 else 1000 + key))
+    crowd = spark.createDataFrame([r[:3] for r in rows], "key long, fp long, doc_id long")
+    roots = spark.createDataFrame([(r[2], r[3]) for r in rows if r[2] != r[3]], "node long, root long")
+    scratch = Scratch(spark, "outside")
+    label, rest = simhash.open_groups(crowd, roots, scratch)
+    assert {r["key"] for r in rest.collect()} == {1, 2, 3}  # group 0 is one component
+    got = [tuple(r) for r in simhash.outside_pairs(label, rest, 22, block).collect()]
+    want = {(a[2], b[2]) for a, b in itertools.combinations(rows, 2) if a[0] == b[0] and a[3] != b[3] and ((a[1] ^ b[1]) & (1 << 64) - 1).bit_count() <= 22}
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
 def test_decontamination(spark):
     rng = random.Random(9)
     items = [(k, prose(rng, n)) for k, n in enumerate((5, 9, 30, 64, 200))] + [(9, "too short"), (10, None)]

@@ -241,6 +241,53 @@ def hub_pairs(crowd: DataFrame, scratch: Scratch, bits: int) -> DataFrame:
     return met.select(F.least("doc_id", "hub.doc_id").alias("a"), F.greatest("doc_id", "hub.doc_id").alias("b"))
 
 
+def open_groups(crowd: DataFrame, roots: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, fp, doc_id, root) of the large groups, and those groups (key, main, n, out) that are not one
+    component yet: the largest component's root, how many rows there are, and how many stand outside of it."""
+    label = crowd.join(roots, F.col("doc_id") == F.col("node"), "left").select("key", "fp", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    label = scratch.save(label, "label")
+    sizes = label.groupBy("key", "root").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"))
+    rest = main.select("key", F.col("main.root").alias("main"), "n", (F.col("n") - F.col("main.n")).alias("out")).where("out > 0")
+    return label, scratch.save(rest, "open")
+
+
+def outside_pairs(label: DataFrame, rest: DataFrame, bits: int, block: int = 1024) -> DataFrame:
+    """(a, b) of rows with equal keys and different roots that the pivot table and the distance don't discard.
+
+    Only a group's rows outside its largest component are held against all its rows, in cells of about
+    `block` by `block` rows, so no task holds a group and no pair of a group is passed over.
+    """
+    table = np.array(pivots(), np.int64).view(np.uint64)
+
+    def cell(t: pa.Table) -> pa.Table:
+        side, fp, ids, root = (t.column(c).to_numpy() for c in ("side", "fp", "doc_id", "root"))
+        u = fp.view(np.uint64)
+        coords = [np.bitwise_count(u ^ p).astype(np.int16) for p in table]
+        outer, inner = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        a, b = [], []
+        for i in range(0, len(outer), 256):
+            x, y = np.nonzero(root[outer[i : i + 256], None] != root[None, inner])
+            x, y = outer[i + x], inner[y]
+            for c in coords:  # one coordinate at a time
+                near = np.abs(c[x] - c[y]) <= bits
+                x, y = x[near], y[near]
+            near = np.bitwise_count(u[x] ^ u[y]) <= bits
+            x, y = ids[x[near]], ids[y[near]]
+            a.append(np.minimum(x, y))
+            b.append(np.maximum(x, y))
+        none = [np.zeros(0, np.int64)]
+        return pa.table({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
+
+    rows = label.join(few(rest), "key")
+    cells = lambda n: F.ceil(F.col(n) / F.lit(block))
+    mine = lambda n: F.pmod(F.xxhash64("doc_id"), cells(n))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), cells(n) - 1))
+    outer = rows.where("root != main").select("key", mine("out").alias("i"), all_of("n").alias("j"), F.lit(0).alias("side"), "fp", "doc_id", "root")
+    inner = rows.select("key", all_of("out").alias("i"), mine("n").alias("j"), F.lit(1).alias("side"), "fp", "doc_id", "root")
+    return outer.union(inner).groupBy("key", "i", "j").applyInArrow(cell, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 22, reach: int = 15, hot_reach: int = 4) -> DataFrame:
     """(doc_id, first): rows whose sets of word shingles have a Jaccard similarity of `similarity` or more
     link; first is the smallest doc_id that links reach. Rows with a null doc_id are left out.
@@ -249,9 +296,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, bi
     equal band of minimum hashes: a pair at 0.8 shares none of 20 bands of 5 once in 3000 times, with
     however many rows. All pairs of a band's group of up to reach + 1 distinct texts are tested. Larger
     groups are sorted by fingerprint, in another order for each band, and dealt out in ranges; each
-    text is tested with the next `hot_reach` and with two hubs, so candidates grow with the rows and
-    not with the square of a group. The pivot table and the distance discard pairs, and the shingle sets themselves
-    decide. Texts without words are alike. An empty table gives an empty result.
+    text is tested with the next `hot_reach` and with two hubs, which makes most groups one component.
+    In those that are not, every text outside the largest component is then held against all texts of
+    the group, so no link that a band proves is missed. The pivot table and the distance discard pairs,
+    and the shingle sets themselves decide. Texts without words are alike. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "neardup")
     body = texts(docs).where("doc_id is not null")
@@ -266,10 +314,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, bi
     crowd = keys.join(large, "key").select("key", "fp", "doc_id", turned)
     near = near.union(hub_pairs(crowd, scratch, bits))
     near = near.union(met_pairs(crowd.repartitionByRange("key", "turned", "doc_id").sortWithinPartitions("key", "turned", "doc_id"), hot_reach, bits))
-    near = scratch.save(near.distinct(), "near")
+    roots = components(_linked(near.distinct(), body, words, similarity, scratch, "near"), scratch)
+    label, rest = open_groups(crowd, roots, scratch)
+    if rest.take(1):
+        more = _linked(outside_pairs(label, rest, bits), body, words, similarity, scratch, "outside")
+        roots = components(roots.toDF("a", "b").union(more), scratch, "joined")
+    groups = rows.groupBy("h", "n").agg(F.min("doc_id").alias("rep"))
+    named = groups.join(roots, F.col("rep") == F.col("node"), "left").select("h", "n", F.coalesce("root", "rep").alias("first"))
+    return rows.join(named, ["h", "n"]).select("doc_id", "first")
+
+
+def _linked(near: DataFrame, body: DataFrame, words: int, similarity: float, scratch: Scratch, step: str) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles are alike."""
+    near = scratch.save(near, step)
     ends = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
-    ends = scratch.save(ends, "ends")
-    sets = scratch.save(_shingle_sets(body.join(few(ends), "doc_id").dropDuplicates(["doc_id"]), words), "sets")
+    ends = scratch.save(ends, f"{step}_ends")
+    sets = scratch.save(_shingle_sets(body.join(few(ends), "doc_id").dropDuplicates(["doc_id"]), words), f"{step}_sets")
     pairs = near.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,11 +342,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, bi
                 ok.append(either == 0 or both >= similarity * either)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    linked = pairs.select("a", "b", "sa", "sb").mapInArrow(decide, "a long, b long")
-    roots = components(linked, scratch)
-    groups = rows.groupBy("h", "n").agg(F.min("doc_id").alias("rep"))
-    named = groups.join(roots, F.col("rep") == F.col("node"), "left").select("h", "n", F.coalesce("root", "rep").alias("first"))
-    return rows.join(named, ["h", "n"]).select("doc_id", "first")
+    return pairs.select("a", "b", "sa", "sb").mapInArrow(decide, "a long, b long")
 
 
 def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
