@@ -251,3 +251,21 @@ def test_imatch(spark):
         assert got[i]["n_chars"] == len(t) and got[i]["edited_sha256"] == hashlib.sha256((t[: len(t) - q] + nxt[:q]).encode()).hexdigest(), i
     assert got[None]["edited_sha256"] == hashlib.sha256(b"abc def ").hexdigest()
     assert imatch.fingerprint_edits(docs(spark, rows).limit(0)).count() == 0
+
+
+def test_imatch_band_is_by_term(spark):
+    """Two terms that share the low 20 bits of their hashes, each in one row only, are below the band."""
+    low = {}
+    for k in itertools.count():
+        a, b = low.setdefault(int(imatch.terms(f"w{k}")[0]) & 0xFFFFF, k), k
+        if a != b:
+            break
+    rows = [(0, f"w{a} common"), (1, f"w{b} common")] + [(i, f"x{i} shared") for i in range(2, 30)]
+    rows[5:7] = [(5, "twice x5"), (6, "twice x6")]
+    rows += [(30, "common"), (31, "")]
+    got = {r["doc_id"]: r["fingerprint"] for r in imatch.fingerprint_edits(docs(spark, rows)).collect()}
+    assert got[0] == got[1] == got[30]
+    assert imatch.band_of(docs(spark, rows), 2, 0.1).tolist() == sorted(int(imatch.terms(w)[0]) for w in ("common", "twice"))
+    assert len(imatch.band_of(docs(spark, rows).limit(0), 2, 0.1)) == 0
+    t = imatch.terms(f"w{a} w{b} common")
+    assert imatch.in_band(t, imatch.terms("common")).sum() == 1 and not imatch.in_band(t, np.zeros(0, np.uint64)).any()

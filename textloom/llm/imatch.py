@@ -16,11 +16,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import Scratch, texts
+from textloom.llm.common import texts
 
 #: A lexicon holds a term with the chance 2^-rate; eight lexicons for each rate.
 RATES = np.repeat([1, 3, 5, 6, 7, 8, 9, 10], 8)
-SLOTS = 1 << 20
+#: So many term hashes (32 MB) a task holds before it counts them.
+BUFFER = 1 << 22
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -32,7 +33,7 @@ def terms(text: str) -> np.ndarray:
 
 def fingerprint(t: np.ndarray, band: np.ndarray) -> np.ndarray:
     """A 16-bit hash for each lexicon; 0 where it holds no term. A text without terms in the band uses all."""
-    kept = t[band[(t & np.uint64(SLOTS - 1)).astype(np.int64)]]
+    kept = t[in_band(t, band)]
     kept = kept if len(kept) else t
     out = np.zeros(len(RATES), np.uint16)
     if not len(kept):
@@ -52,30 +53,40 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
-    """(slot, df): in how many rows a term of each of 2^20 hash slots occurs; a task sends at most a row a slot."""
+    """(term, df): in how many rows each 64-bit term hash (as a signed long) occurs; counts are merged for BUFFER terms first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(SLOTS, np.int64)
+        held, n = [], 0
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            found, df = np.unique(np.concatenate(held), return_counts=True)
+            for i in range(0, len(found), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(found[i : i + 100_000].view(np.int64)), pa.array(df[i : i + 100_000])], ["term", "df"])
+
         for b in batches:
             for t in b.column(1):
-                df[np.unique((terms(t.as_py()) & np.uint64(SLOTS - 1)).astype(np.int64))] += 1
-        at = np.flatnonzero(df)
-        for i in range(0, len(at), 100_000):
-            part = at[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(df[part])], ["slot", "df"])
+                held.append(terms(t.as_py()))
+                n += len(held[-1])
+                if n >= BUFFER:
+                    yield from counted()
+                    held, n = [], 0
+        if n:
+            yield from counted()
 
-    return texts(docs).mapInArrow(run, "slot int, df long").groupBy("slot").agg(F.sum("df").alias("df"))
+    return texts(docs).mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def band_of(docs: DataFrame, scratch: Scratch, least_df: int, share: float) -> np.ndarray:
-    """One bit for each slot: df from least_df to share of the rows. 128 KB, however large the corpus."""
-    df = scratch.save(document_frequencies(docs), "df")
+def band_of(docs: DataFrame, least_df: int, share: float) -> np.ndarray:
+    """The sorted hashes of the terms with a df from least_df to share of the rows: 8 bytes for each such term."""
     most = max(share * docs.count(), least_df)
-    chosen = df.where(F.col("df").between(least_df, most)).groupBy(F.expr("slot div 4096").alias("p")).agg(F.collect_list(F.expr("slot % 4096")).alias("s"))
-    band = np.zeros(SLOTS, bool)
-    for r in chosen.toLocalIterator():  # at most 256 rows of 4096 slots
-        band[r["p"] * 4096 + np.array(r["s"], np.int64)] = True
-    return band
+    chosen = document_frequencies(docs).where(F.col("df").between(least_df, most)).select("term").toArrow()
+    return np.sort(chosen.column("term").to_numpy().view(np.uint64))
+
+
+def in_band(t: np.ndarray, band: np.ndarray) -> np.ndarray:
+    if not len(band):
+        return np.zeros(len(t), bool)
+    return band[np.minimum(np.searchsorted(band, t), len(band) - 1)] == t
 
 
 def slots(spark: SparkSession, n: int) -> Column:
@@ -93,8 +104,7 @@ def fingerprint_edits(docs: DataFrame, least_df: int = 2, share: float = 0.1) ->
     with a null doc_id has no place in that order, and its next text is empty. Null texts count as empty.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "imatch")
-    packed = np.packbits(band_of(docs, scratch, least_df, share)).tobytes()
+    packed = band_of(docs, least_df, share).tobytes()
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     body = texts(docs)
     cuts = sorted(set(map(int, body.stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts))))
@@ -108,7 +118,7 @@ def fingerprint_edits(docs: DataFrame, least_df: int = 2, share: float = 0.1) ->
     rows = placed.withColumn("extra", F.lit(False)).unionByName(extra).withColumn("slot", slots(spark, parts)[F.col("part")]).repartition(parts, "slot").drop("slot").sortWithinPartitions("part", F.col("doc_id").isNull(), "extra", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        band = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
+        band = np.frombuffer(packed, np.uint64)
         held = None  # the row that waits for its next: (part, doc_id, text, fingerprint)
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
