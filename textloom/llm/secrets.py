@@ -1,14 +1,15 @@
 """Secrets: fixed patterns, then stretches of high entropy.
 
-Base spans come from three patterns. Further candidates are long runs of one character class (hex
-digits; letters, digits and +/_=-). A window slides over each run; its Shannon entropy is kept up to
-date from the counts of the character that leaves and the one that enters. Windows above the class's
-threshold form a span unless an allow-list rule explains them. Only DataFrame functions.
+Base spans come from three patterns. Further candidates are long runs of characters (hex digits;
+letters, digits and +/_=-) without what the allow list explains. A window slides over each run; its
+Shannon entropy is kept up to date from the counts of the character that leaves and the one that enters.
+Windows above the threshold of their own character class form a span. Only DataFrame functions.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,11 +24,35 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 WINDOW = 20
 #: Longest stretch that is scored at once; longer runs are read as stretches that overlap by a window.
 STRETCH = 256
-#: (class, bits that a window of that class must exceed)
-CLASSES = [("0-9A-Fa-f", 3.0), ("A-Za-z0-9+/_=-", 3.9)]
+MIXED = "A-Za-z0-9+/_=-"
 UUID = r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}"
-#: Runs that look random but are not secret.
-ALLOWED = r"(?i)" + UUID + r"|example|sample|dummy|placeholder|changeme|x{6}|abcdefgh|01234567|12345678|^[0-9]+$|^[^0-9]+$|sha(?:1|256|512)-"
+#: (what looks random but is not secret, its length)
+ALLOWED = [(UUID, 36), (r"sha1-[A-Za-z0-9+/]{27}=", 33), (r"sha256-[A-Za-z0-9+/]{43}=", 51), (r"sha512-[A-Za-z0-9+/]{86}==", 95), ("placeholder", 11), ("changeme|abcdefgh|01234567|12345678", 8), ("example", 7), ("sample|x{6}", 6), ("dummy", 5)]
+
+
+def hex_bits(w: Column) -> Column:
+    """The bits that a window of hex digits must exceed; only digits or only letters never do."""
+    return F.when(w.rlike("[0-9]") & w.rlike("[A-Fa-f]"), 3.0).otherwise(9.0)
+
+
+def mixed_bits(w: Column) -> Column:
+    """The bits that a window must exceed, by its class: about one in a hundred random windows with a digit of one
+    of the first four classes has no more. Without a digit, words reach 3.8 and paths 3.9."""
+    digit, cased = w.rlike("[0-9]"), w.rlike("[A-Z]") & w.rlike("[a-z]")
+    one_case = w.rlike("^(?:[0-9a-z]+|[0-9A-Z]+)$")
+    return F.when(digit & w.rlike("^[A-Z2-7]+$"), 3.3).when(digit & one_case, 3.4).when(digit & cased, 3.6).when(digit | cased | one_case, 3.9).otherwise(4.1)
+
+
+#: (class, bits that a window of that class must exceed)
+CLASSES = [("0-9A-Fa-f", hex_bits), (MIXED, mixed_bits)]
+
+
+def unexplained(text: Column) -> Column:
+    """The text with blanks over what the allow list explains, so that runs end there; positions stay."""
+    out = text
+    for pattern, n in ALLOWED:
+        out = F.regexp_replace(out, "(?i)" + pattern, " " * n)
+    return F.when(text.rlike(rf"(?<![{MIXED}])[{MIXED}]{{{WINDOW}}}"), out).otherwise(text)
 
 
 def _runs(chars: str) -> str:
@@ -39,8 +64,8 @@ def _plogp(n: Column) -> Column:
     return F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
 
 
-def high_entropy(s: Column, bits: float, window: int = WINDOW) -> Column:
-    """(lo, hi) of the part of s whose windows exceed the bits; lo is -1 where none does.
+def high_entropy(s: Column, bits: float | Callable[[Column], Column], window: int = WINDOW) -> Column:
+    """(lo, hi) of the part of s whose windows exceed the bits (a function gives those of each window); lo is -1 where none does.
 
     With c the count of each character in a window of w, the entropy is log2(w) - sum(c log2 c) / w.
     Sliding by one changes the counts of two characters only.
@@ -53,10 +78,12 @@ def high_entropy(s: Column, bits: float, window: int = WINDOW) -> Column:
         chars = F.array_distinct(F.split(part, ""))
         return F.aggregate(chars, F.lit(0.0), lambda a, ch: a + F.when(ch != "", _plogp(count(part, ch))).otherwise(0.0))
 
-    limit = (math.log2(window) - bits) * window
+    def limit(i: Column) -> Column:
+        most = let(F.substring(s, i + 1, F.lit(window)), bits) if callable(bits) else F.lit(bits)
+        return (F.lit(math.log2(window)) - most) * window
 
     def mark(total: Column, lo: Column, hi: Column, i: Column) -> Column:
-        ok = total < F.lit(limit)
+        ok = total < limit(i)
         return F.struct(total.alias("t"), F.when(ok & (lo < 0), i).otherwise(lo).alias("lo"), F.when(ok, i + window).otherwise(hi).alias("hi"))
 
     def step(acc: Column, i: Column) -> Column:
@@ -80,7 +107,7 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(assign, access, find_spans(text, 2, HEX)))
 
 
-def entropy_spans(text: Column, kind: int, chars: str, bits: float) -> Column:
+def entropy_spans(text: Column, kind: int, chars: str, bits: Callable[[Column], Column]) -> Column:
     """Spans of one class; each stretch also sees the first window of the stretch that follows it."""
     none = F.array().cast("array<struct<s:int,k:int,e:int>>")
 
@@ -88,7 +115,7 @@ def entropy_spans(text: Column, kind: int, chars: str, bits: float) -> Column:
         def one(x: Column, i: Column) -> Column:
             def whole(nxt: Column) -> Column:
                 piece = F.when(nxt["s"] == x["e"], F.concat(x["m"], F.substring(nxt["m"], 1, WINDOW - 1))).otherwise(x["m"])
-                return let(piece, lambda p: let(F.when(p.rlike(ALLOWED), F.struct(F.lit(0.0).alias("t"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"))).otherwise(high_entropy(p, bits)), lambda r: F.struct((x["s"] + r["lo"]).alias("s"), F.lit(kind).alias("k"), (x["s"] + r["hi"]).alias("e"), (r["lo"] >= 0).alias("ok"))))
+                return let(piece, lambda p: let(high_entropy(p, bits), lambda r: F.struct((x["s"] + r["lo"]).alias("s"), F.lit(kind).alias("k"), (x["s"] + r["hi"]).alias("e"), (r["lo"] >= 0).alias("ok"))))
 
             return let(F.get(runs, i + 1), whole)
 
@@ -97,17 +124,33 @@ def entropy_spans(text: Column, kind: int, chars: str, bits: float) -> Column:
     return let(find_spans(text, kind, _runs(chars)), lambda r: F.when(F.size(r) == 0, none).otherwise(scored(r)))
 
 
+def outside(spans: Column, others: Column) -> Column:
+    """The parts of the spans that no other span (in the order of their starts) covers."""
+
+    def cut(x: Column) -> Column:
+        part = lambda s, e: F.array(F.struct(s.alias("s"), x["k"].alias("k"), e.alias("e")))
+        none = F.array().cast("array<struct<s:int,k:int,e:int>>")
+
+        def step(acc: Column, y: Column) -> Column:
+            left = F.when(y["s"] > acc["at"], F.concat(acc["parts"], part(acc["at"], y["s"]))).otherwise(acc["parts"])
+            return F.when((y["e"] > acc["at"]) & (y["s"] < x["e"]), F.struct(y["e"].alias("at"), left.alias("parts"))).otherwise(acc)
+
+        return F.aggregate(others, F.struct(x["s"].alias("at"), none.alias("parts")), step, lambda acc: F.when(acc["at"] < x["e"], F.concat(acc["parts"], part(acc["at"], x["e"]))).otherwise(acc["parts"]))
+
+    return F.flatten(F.transform(spans, cut))
+
+
 def find_secrets(docs: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every row, in one scan without a shuffle.
 
-    Entropy spans that overlap a base span, or a hex span that a mixed one repeats, are left out.
+    Of entropy spans the parts outside base spans are kept, and of mixed ones the parts outside hex ones too.
     Null and empty texts have no spans; repeated rows give repeated results.
     """
     text = F.col("text")
     plain = lambda a: F.transform(a, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
-    apart = lambda x, others: ~F.exists(others, lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"]))
-    df = texts(docs).select("doc_id", plain(base_spans(text)).alias("base"), *[entropy_spans(text, len(BASE) + i, chars, bits).alias(f"x{i}") for i, (chars, bits) in enumerate(CLASSES)])
-    df = df.withColumn("hex", F.filter("x0", lambda x: apart(x, F.col("base")))).withColumn("mixed", F.filter("x1", lambda x: apart(x, F.col("base")) & apart(x, F.col("x0"))))
+    df = texts(docs).select("doc_id", "text", unexplained(text).alias("open"))
+    df = df.select("doc_id", plain(base_spans(text)).alias("base"), *[entropy_spans(F.col("open"), len(BASE) + i, chars, bits).alias(f"x{i}") for i, (chars, bits) in enumerate(CLASSES)])
+    df = df.withColumn("hex", outside(F.col("x0"), F.col("base"))).withColumn("mixed", outside(F.col("x1"), F.array_sort(F.concat("base", "x0"))))
     count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
     return df.select(
         "doc_id",
