@@ -116,6 +116,13 @@ def test_warc(spark):
     assert [(got[i]["record_type"], got[i]["refers_to"]) for i in (1, 2, 3, 4)] == [("revisit", 2), ("response", None), ("revisit", 4), ("response", None)]
 
 
+def test_reject_is_what_classify_calls_toxic(spark):
+    """A text without words scores the prior."""
+    df = docs(spark, [(2, ""), (3, None)])
+    assert toxicity.reject(df, toxicity.train([], 0.4)).count() == 0
+    assert toxicity.reject(df, toxicity.train([], 0.2)).count() == 2
+
+
 def test_toxicity(spark):
     rng = random.Random(1)
     rows = [(i, prose(rng, 60) + (" vile brute " if i % 3 == 0 else " ") + prose(rng, 20)) for i in range(300)]

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from textloom.llm.common import texts
 
 LENGTH, STRIDE = 32, 16
+#: From this score on a text is toxic, in op5 and in the pipeline.
+THRESHOLD = 0.3
 PAIRS, HIDDEN = 1 << 11, 8
 DIM = 12
 #: Bytes that end a word: ASCII but letters and digits.
@@ -261,7 +263,7 @@ def scores(docs: DataFrame, net: Network) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, score double")
 
 
-def reject(docs: DataFrame, net: Network, threshold: float = 0.5) -> DataFrame:
+def reject(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all their columns, that score below the threshold. One scan, no shuffle."""
     at = docs.columns.index("text")
 
@@ -291,7 +293,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 2000) -> Network:
     return train(list(zip(rows["text"], rows["toxic"], strict=True)), prior)
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row. Null texts count as empty; without labels of both classes all rows score the prior."""
     s = scores(docs, fit(docs, labels))
     return s.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
