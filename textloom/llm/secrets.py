@@ -1,9 +1,11 @@
 """Secrets: fixed patterns, then stretches of high entropy.
 
 Base spans come from three patterns. Further candidates are long runs of characters (hex digits;
-letters, digits and +/_=-) without what the allow list explains. A window slides over each run; its
-Shannon entropy is kept up to date from the counts of the character that leaves and the one that enters.
-Windows above the threshold of their own character class form a span. Only DataFrame functions.
+letters, digits and +/_=-) without what the allow list explains. A window slides over each whole run,
+however long. The counts of its characters are kept in a few longs, five bits for each character, and
+its Shannon entropy follows from the counts of the character that enters and the one that leaves.
+Windows above the threshold of their own character class form spans, one for each unbroken stretch.
+Only DataFrame functions.
 """
 
 from __future__ import annotations
@@ -22,25 +24,38 @@ ASSIGN = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?(
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 WINDOW = 20
-#: Longest stretch that is scored at once; longer runs are read as stretches that overlap by a window.
-STRETCH = 256
 MIXED = "A-Za-z0-9+/_=-"
 UUID = r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}"
 #: (what looks random but is not secret, its length)
 ALLOWED = [(UUID, 36), (r"sha1-[A-Za-z0-9+/]{27}=", 33), (r"sha256-[A-Za-z0-9+/]{43}=", 51), (r"sha512-[A-Za-z0-9+/]{86}==", 95), ("placeholder", 11), ("changeme|abcdefgh|01234567|12345678", 8), ("example", 7), ("sample|x{6}", 6), ("dummy", 5)]
 
 
-def hex_bits(w: Column) -> Column:
+#: The characters of candidate runs by class: a character's place in their concatenation is its counter.
+SYMBOLS = [("ends", "0189"), ("digits", "234567"), ("upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("lower", "abcdefghijklmnopqrstuvwxyz"), ("marks", "+/_=-")]
+ALPHABET = "".join(chars for _, chars in SYMBOLS)
+#: Five bits count up to the window's 20; a long holds twelve counters.
+BITS, PER = 5, 12
+WORDS = -(-len(ALPHABET) // PER)
+
+
+def _has(counts: Column, *names: str) -> Column:
+    """Whether a window has characters of these classes; counts packs the count of each class."""
+    mask = sum(31 << (BITS * k) for k, (n, _) in enumerate(SYMBOLS) if n in names)
+    return counts.bitwiseAND(F.lit(mask)) != 0
+
+
+def hex_bits(c: Column) -> Column:
     """The bits that a window of hex digits must exceed; only digits or only letters never do."""
-    return F.when(w.rlike("[0-9]") & w.rlike("[A-Fa-f]"), 3.0).otherwise(9.0)
+    return F.when(_has(c, "ends", "digits") & _has(c, "upper", "lower"), 3.0).otherwise(9.0)
 
 
-def mixed_bits(w: Column) -> Column:
+def mixed_bits(c: Column) -> Column:
     """The bits that a window must exceed, by its class: about one in a hundred random windows with a digit of one
     of the first four classes has no more. Without a digit, words reach 3.8 and paths 3.9."""
-    digit, cased = w.rlike("[0-9]"), w.rlike("[A-Z]") & w.rlike("[a-z]")
-    one_case = w.rlike("^(?:[0-9a-z]+|[0-9A-Z]+)$")
-    return F.when(digit & w.rlike("^[A-Z2-7]+$"), 3.3).when(digit & one_case, 3.4).when(digit & cased, 3.6).when(digit | cased | one_case, 3.9).otherwise(4.1)
+    digit, cased, marks = _has(c, "ends", "digits"), _has(c, "upper") & _has(c, "lower"), _has(c, "marks")
+    base32 = ~_has(c, "ends", "lower", "marks")
+    one_case = ~marks & ~cased
+    return F.when(digit & base32, 3.3).when(digit & one_case, 3.4).when(digit & cased, 3.6).when(digit | cased | one_case, 3.9).otherwise(4.1)
 
 
 #: (class, bits that a window of that class must exceed)
@@ -55,50 +70,69 @@ def unexplained(text: Column) -> Column:
     return F.when(text.rlike(rf"(?<![{MIXED}])[{MIXED}]{{{WINDOW}}}"), out).otherwise(text)
 
 
-def _runs(chars: str) -> str:
-    """Runs of 20 or more characters of a class, in pieces of at most STRETCH."""
-    return rf"(?:(?<![{chars}])(?=[{chars}]{{{WINDOW}}})|(?!^)\G(?<=[{chars}]))[{chars}]{{1,{STRETCH}}}+"
+def _symbols(run: Column) -> Column:
+    """Each character as (long, shift, step, cls): which long counts it, at which bit and by what step, and the step of its class's count."""
+    edges, at = [], 0
+    for _, chars in SYMBOLS:
+        at += len(chars)
+        edges.append(at)
 
+    def one(ch: Column) -> Column:
+        def placed(i: Column) -> Column:
+            cls = F.when(i < edges[0], 1)
+            for k, edge in enumerate(edges[1:], 1):
+                cls = cls.when(i < edge, 1 << (BITS * k))
+            shift = (i % PER * BITS).cast("int")
+            step = F.call_function("shiftleft", F.lit(1).cast("long"), shift)
+            return F.struct(F.floor(i / PER).cast("int").alias("long"), shift.alias("shift"), step.alias("step"), cls.cast("long").alias("cls"))
 
-def _plogp(n: Column) -> Column:
-    return F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
+        return let(F.instr(F.lit(ALPHABET), ch) - 1, placed)
 
+    return F.transform(F.split(run, ""), one)
 
-def high_entropy(s: Column, bits: float | Callable[[Column], Column], window: int = WINDOW) -> Column:
-    """(lo, hi) of the part of s whose windows exceed the bits (a function gives those of each window); lo is -1 where none does.
 
-    With c the count of each character in a window of w, the entropy is log2(w) - sum(c log2 c) / w.
-    Sliding by one changes the counts of two characters only.
-    """
+def high_entropy(run: Column, bits: float | Callable[[Column], Column], window: int = WINDOW) -> Column:
+    """Spans (lo, hi) of the run: the unions of overlapping or touching windows that exceed the bits (a function gives those of each window).
 
-    def count(part: Column, ch: Column) -> Column:
-        return F.length(part) - F.length(F.replace(part, ch, F.lit("")))
+    With c the count of each character in a window of w, the entropy is log2(w) - sum(c log2 c) / w. One
+    fold over the characters: each step counts one in and one out, reads the counters of these two only,
+    and costs the same however long the run is. The window is at most 31 characters.
+    """
+    none = F.array().cast("array<struct<lo:int,hi:int>>")
+    plogp = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])
+    no_symbol = F.struct(F.lit(-1).alias("long"), F.lit(0).alias("shift"), F.lit(0).cast("long").alias("step"), F.lit(0).cast("long").alias("cls"))
 
-    def start(part: Column) -> Column:
-        chars = F.array_distinct(F.split(part, ""))
-        return F.aggregate(chars, F.lit(0.0), lambda a, ch: a + F.when(ch != "", _plogp(count(part, ch))).otherwise(0.0))
+    def count(longs: Column, x: Column) -> Column:
+        return F.call_function("shiftright", F.get(longs, x["long"]), x["shift"]).bitwiseAND(F.lit(31)).cast("int")
 
-    def limit(i: Column) -> Column:
-        most = let(F.substring(s, i + 1, F.lit(window)), bits) if callable(bits) else F.lit(bits)
-        return (F.lit(math.log2(window)) - most) * window
+    def folded(symbols: Column) -> Column:
+        def step(acc: Column, x: Column, i: Column) -> Column:
+            gone = F.when(i >= window, F.get(symbols, i - window)).otherwise(no_symbol)
 
-    def mark(total: Column, lo: Column, hi: Column, i: Column) -> Column:
-        ok = total < limit(i)
-        return F.struct(total.alias("t"), F.when(ok & (lo < 0), i).otherwise(lo).alias("lo"), F.when(ok, i + window).otherwise(hi).alias("hi"))
+            def moved(y: Column) -> Column:
+                left = F.when(i >= window, count(acc["longs"], y)).otherwise(0)
+                came = count(acc["longs"], x) - F.when((x["long"] == y["long"]) & (x["step"] == y["step"]), 1).otherwise(0)
+                change = F.when(left > 0, F.get(plogp, left - 1) - F.get(plogp, left)).otherwise(0.0)
+                total = acc["total"] + change + let(came, lambda n: F.get(plogp, n + 1) - F.get(plogp, n))
+                longs = F.transform(acc["longs"], lambda v, k: v + F.when(k == x["long"], x["step"]).otherwise(F.lit(0).cast("long")) - F.when(k == y["long"], y["step"]).otherwise(F.lit(0).cast("long")))
+                return let(F.struct(total.alias("total"), longs.alias("longs"), (acc["cls"] + x["cls"] - y["cls"]).alias("cls")), lambda s: marked(acc, s, i))
 
-    def step(acc: Column, i: Column) -> Column:
-        part, out, new = F.substring(s, i, F.lit(window)), F.substring(s, i, F.lit(1)), F.substring(s, i + window, F.lit(1))
+            return let(gone, moved)
 
-        def moved(n: Column) -> Column:
-            left = acc["t"] - _plogp(n) + _plogp(n - 1)
-            m = count(part, new) - F.when(out == new, 1).otherwise(0)
-            return mark(left - _plogp(m) + _plogp(m + 1), acc["lo"], acc["hi"], i)
+        def marked(acc: Column, s: Column, i: Column) -> Column:
+            most = bits(s["cls"]) if callable(bits) else F.lit(bits)
+            ok = (i >= window - 1) & (s["total"] < (F.lit(math.log2(window)) - most) * window - 1e-9)
+            lo, apart = i - window + 1, (i - window + 1 > acc["hi"]) & (acc["lo"] >= 0)
+            done = F.when(ok & apart, F.concat(acc["done"], F.array(F.struct(acc["lo"].alias("lo"), acc["hi"].alias("hi"))))).otherwise(acc["done"])
+            start = F.when(ok & (apart | (acc["lo"] < 0)), lo).otherwise(acc["lo"])
+            return F.struct((i + 1).alias("i"), s["total"].alias("total"), s["longs"].alias("longs"), s["cls"].alias("cls"), start.alias("lo"), F.when(ok, i + 1).otherwise(acc["hi"]).alias("hi"), done.alias("done"))
 
-        return let(count(part, out), moved)
+        zero = F.lit(0).cast("long")
+        first = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("total"), F.array(*[zero] * WORDS).alias("longs"), zero.alias("cls"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"), none.alias("done"))
+        finish = lambda a: F.when(a["lo"] >= 0, F.concat(a["done"], F.array(F.struct(a["lo"].alias("lo"), a["hi"].alias("hi"))))).otherwise(a["done"])
+        return F.aggregate(symbols, first, lambda acc, x: step(acc, x, acc["i"]), finish)
 
-    first = mark(start(F.substring(s, 1, window)), F.lit(-1), F.lit(-1), F.lit(0))
-    later = F.when(F.length(s) > window, F.sequence(F.lit(1), F.length(s) - window)).otherwise(F.array().cast("array<int>"))
-    return F.when(F.length(s) >= window, F.aggregate(later, first, step)).otherwise(F.struct(F.lit(0.0).alias("t"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi")))
+    return F.when(F.length(run) >= window, let(_symbols(run), folded)).otherwise(none)
 
 
 def base_spans(text: Column) -> Column:
@@ -108,36 +142,28 @@ def base_spans(text: Column) -> Column:
 
 
 def entropy_spans(text: Column, kind: int, chars: str, bits: Callable[[Column], Column]) -> Column:
-    """Spans of one class; each stretch also sees the first window of the stretch that follows it."""
+    """Spans of one class over whole runs of 20 or more of its characters."""
     none = F.array().cast("array<struct<s:int,k:int,e:int>>")
 
-    def scored(runs: Column) -> Column:
-        def one(x: Column, i: Column) -> Column:
-            def whole(nxt: Column) -> Column:
-                piece = F.when(nxt["s"] == x["e"], F.concat(x["m"], F.substring(nxt["m"], 1, WINDOW - 1))).otherwise(x["m"])
-                return let(piece, lambda p: let(high_entropy(p, bits), lambda r: F.struct((x["s"] + r["lo"]).alias("s"), F.lit(kind).alias("k"), (x["s"] + r["hi"]).alias("e"), (r["lo"] >= 0).alias("ok"))))
+    def one(x: Column) -> Column:
+        return F.transform(high_entropy(x["m"], bits), lambda r: F.struct((x["s"] + r["lo"]).alias("s"), F.lit(kind).alias("k"), (x["s"] + r["hi"]).alias("e")))
 
-            return let(F.get(runs, i + 1), whole)
+    return let(find_spans(text, kind, rf"[{chars}]{{{WINDOW},}}+"), lambda runs: F.when(F.size(runs) == 0, none).otherwise(F.flatten(F.transform(runs, one))))
 
-        return F.transform(F.filter(F.transform(runs, one), lambda x: x["ok"]), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
 
-    return let(find_spans(text, kind, _runs(chars)), lambda r: F.when(F.size(r) == 0, none).otherwise(scored(r)))
-
-
-def outside(spans: Column, others: Column) -> Column:
-    """The parts of the spans that no other span (in the order of their starts) covers."""
-
-    def cut(x: Column) -> Column:
-        part = lambda s, e: F.array(F.struct(s.alias("s"), x["k"].alias("k"), e.alias("e")))
-        none = F.array().cast("array<struct<s:int,k:int,e:int>>")
-
-        def step(acc: Column, y: Column) -> Column:
-            left = F.when(y["s"] > acc["at"], F.concat(acc["parts"], part(acc["at"], y["s"]))).otherwise(acc["parts"])
-            return F.when((y["e"] > acc["at"]) & (y["s"] < x["e"]), F.struct(y["e"].alias("at"), left.alias("parts"))).otherwise(acc)
+def outside(spans: Column, others: Column, kind: int) -> Column:
+    """The parts of the spans (disjoint, of one kind) that no other span covers: one fold over all starts and ends in order."""
+    none = F.array().cast("array<struct<s:int,k:int,e:int>>")
+    ends = lambda a, own: F.flatten(F.transform(a, lambda x: F.array(*[F.struct(p.alias("p"), F.lit(d if own else 0).alias("own"), F.lit(0 if own else d).alias("other")) for p, d in ((x["s"], 1), (x["e"], -1))])))
 
-        return F.aggregate(others, F.struct(x["s"].alias("at"), none.alias("parts")), step, lambda acc: F.when(acc["at"] < x["e"], F.concat(acc["parts"], part(acc["at"], x["e"]))).otherwise(acc["parts"]))
+    def step(acc: Column, e: Column) -> Column:
+        bare = (acc["own"] > 0) & (acc["other"] == 0) & (e["p"] > acc["at"])
+        parts = F.when(bare, F.concat(acc["parts"], F.array(F.struct(acc["at"].alias("s"), F.lit(kind).alias("k"), e["p"].alias("e"))))).otherwise(acc["parts"])
+        return F.struct(e["p"].alias("at"), (acc["own"] + e["own"]).alias("own"), (acc["other"] + e["other"]).alias("other"), parts.alias("parts"))
 
-    return F.flatten(F.transform(spans, cut))
+    first = F.struct(F.lit(0).alias("at"), F.lit(0).alias("own"), F.lit(0).alias("other"), none.alias("parts"))
+    swept = F.aggregate(F.array_sort(F.concat(ends(spans, True), ends(others, False))), first, step, lambda a: a["parts"])
+    return F.when(F.size(spans) == 0, none).otherwise(swept)
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
@@ -150,7 +176,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     plain = lambda a: F.transform(a, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
     df = texts(docs).select("doc_id", "text", unexplained(text).alias("open"))
     df = df.select("doc_id", plain(base_spans(text)).alias("base"), *[entropy_spans(F.col("open"), len(BASE) + i, chars, bits).alias(f"x{i}") for i, (chars, bits) in enumerate(CLASSES)])
-    df = df.withColumn("hex", outside(F.col("x0"), F.col("base"))).withColumn("mixed", outside(F.col("x1"), F.array_sort(F.concat("base", "x0"))))
+    df = df.withColumn("hex", outside(F.col("x0"), F.col("base"), len(BASE))).withColumn("mixed", outside(F.col("x1"), F.concat("base", "x0"), len(BASE) + 1))
     count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
     return df.select(
         "doc_id",
