@@ -15,8 +15,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from textloom.llm.common import texts
+from textloom.llm.common import let, texts
 
 #: A lexicon holds a term with the chance 2^-rate; eight lexicons for each rate.
 RATES = np.repeat([1, 3, 5, 6, 7, 8, 9, 10], 8)
@@ -76,10 +77,16 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     return texts(docs).mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def band_of(docs: DataFrame, least_df: int, share: float) -> np.ndarray:
-    """The sorted hashes of the terms with a df from least_df to share of the rows: 8 bytes for each such term."""
-    most = max(share * docs.count(), least_df)
-    chosen = document_frequencies(docs).where(F.col("df").between(least_df, most)).select("term").toArrow()
+def band_of(docs: DataFrame, rarest: float, commonest: float) -> np.ndarray:
+    """The sorted hashes of the terms that at least max(2, rarest * rows) and at most commonest * rows of the rows hold.
+
+    The band lies between two inverse document frequencies, log(1 / commonest) and log(1 / rarest). Each
+    term in it is in rarest * rows rows at least, so with m distinct terms a row on average the band has
+    at most m / rarest terms, however many rows there are: 8 bytes for each.
+    """
+    n = docs.count()
+    least = max(2.0, rarest * n)
+    chosen = document_frequencies(docs).where(F.col("df").between(least, max(commonest * n, least))).select("term").toArrow()
     return np.sort(chosen.column("term").to_numpy().view(np.uint64))
 
 
@@ -89,6 +96,16 @@ def in_band(t: np.ndarray, band: np.ndarray) -> np.ndarray:
     return band[np.minimum(np.searchsorted(band, t), len(band) - 1)] == t
 
 
+def _place(edges: Column, n: int, x: Column) -> Column:
+    """How many of the n sorted edges are at most x, by halving; 0 for null."""
+    found = F.lit(0)
+    step = 1 << max(n.bit_length() - 1, 0)
+    while n and step:
+        found = let(found, lambda at, step=step: F.when((at + step <= n) & (F.get(edges, at + step - 1) <= x), at + step).otherwise(at))
+        step >>= 1
+    return found
+
+
 def slots(spark: SparkSession, n: int) -> Column:
     """An array of n keys that hash partitioning deals to n different partitions."""
     tried = spark.range(40 * n + 200).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id")).collect()  # n rows
@@ -96,7 +113,7 @@ def slots(spark: SparkSession, n: int) -> Column:
     return F.array(*[F.lit(found.get(i, i)).cast("long") for i in range(n)])
 
 
-def fingerprint_edits(docs: DataFrame, least_df: int = 2, share: float = 0.1) -> DataFrame:
+def fingerprint_edits(docs: DataFrame, rarest: float = 1e-4, commonest: float = 0.1) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
 
     The edited text replaces the last quarter of the code points (rounded down) by the first as many of
@@ -104,17 +121,16 @@ def fingerprint_edits(docs: DataFrame, least_df: int = 2, share: float = 0.1) ->
     with a null doc_id has no place in that order, and its next text is empty. Null texts count as empty.
     """
     spark = docs.sparkSession
-    packed = band_of(docs, least_df, share).tobytes()
+    packed = band_of(docs, rarest, commonest).tobytes()
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     body = texts(docs)
     cuts = sorted(set(map(int, body.stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts))))
     edge = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    placed = body.withColumn("part", F.size(F.filter(edge, lambda c: c <= F.col("doc_id"))))
+    placed = body.withColumn("part", _place(edge, len(cuts), F.col("doc_id")))
     # the first row of each part (at most one for each cut) follows the last row of the part before
-    heads = sorted((r["part"], r["head"]) for r in placed.where("doc_id is not null").groupBy("part").agg(F.min("doc_id").alias("head")).collect())
-    after = {heads[i][1]: heads[i - 1][0] for i in range(len(heads))}
-    to = F.create_map(*[F.lit(x) for k, v in after.items() for x in (k, v)]) if after else F.create_map().cast("map<bigint,int>")
-    extra = body.where(F.col("doc_id").isin(list(after))).groupBy("doc_id").agg(F.min("text").alias("text")).select("doc_id", "text", F.element_at(to, F.col("doc_id")).alias("part"), F.lit(True).alias("extra"))
+    heads = placed.where("doc_id is not null").groupBy("part").agg(F.min("doc_id").alias("head"))
+    after = heads.select(F.col("head").alias("doc_id"), F.coalesce(F.lag("part").over(Window.orderBy("part")), F.max("part").over(Window.partitionBy())).alias("part"))
+    extra = body.join(F.broadcast(after), "doc_id").groupBy("doc_id", "part").agg(F.min("text").alias("text")).select("doc_id", "text", "part", F.lit(True).alias("extra"))
     rows = placed.withColumn("extra", F.lit(False)).unionByName(extra).withColumn("slot", slots(spark, parts)[F.col("part")]).repartition(parts, "slot").drop("slot").sortWithinPartitions("part", F.col("doc_id").isNull(), "extra", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
