@@ -5,12 +5,14 @@ the triangle inequality two fingerprints within r bits differ by at most r in ea
 pair whose largest coordinate difference exceeds r is discarded before its bits are compared.
 
 Distances of 64-bit fingerprints to any pivot lie close together (32 with a deviation of 4), so
-coordinates alone can't be a join key. Pairs to be tested are met by equal bit groups: of six groups
-two are equal in any two fingerprints that differ in at most four bits.
+coordinates alone can't be a join key. Pairs to be tested are met by equal bit groups: of g groups all
+but four are equal in any two fingerprints that differ in at most four bits. g follows the number of
+distinct fingerprints, so that the fingerprints of a key stay few however many there are.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +25,7 @@ from textloom.llm.common import Scratch, few, texts
 from textloom.llm.components import components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Widths of the bit groups; together 64.
-GROUPS = (11, 11, 11, 11, 10, 10)
-N_PIVOTS = 8
+N_PIVOTS = 16
 CHUNK = 1 << 16
 #: Bands of minimum hashes for the similarity of shingle sets, and the factors and shifts of the hash functions.
 BANDS, ROWS = 20, 5
@@ -97,65 +97,74 @@ def within(a: str, b: str, bits: int) -> Column:
     return near & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= bits)
 
 
-def _fields() -> list[tuple[int, int]]:
-    """(shift, mask) of each bit group."""
+def groups_for(n: int) -> int:
+    """How many bit groups: keys of all but four have about 21, 27 or 32 bits, at least those of n less 6."""
+    return 6 if n <= 1 << 27 else 7 if n <= 1 << 33 else 8
+
+
+def _fields(groups: int) -> list[tuple[int, int]]:
+    """(shift, width) of each bit group; together 64 bits."""
     out, at = [], 0
-    for w in GROUPS:
-        out.append((at, (1 << w) - 1))
+    for g in range(groups):
+        w = 64 // groups + (g < 64 % groups)
+        out.append((at, w))
         at += w
     return out
 
 
-def _pairs() -> list[tuple[int, int]]:
-    return [(i, j) for i in range(len(GROUPS)) for j in range(i + 1, len(GROUPS))]
-
-
-def links(fps: DataFrame, scratch: Scratch, bits: int = 4, hot: int = 2000) -> DataFrame:
+def links(fps: DataFrame, scratch: Scratch, bits: int = 4, hot: int = 2000, groups: int | None = None) -> DataFrame:
     """Edges (a, b) of distinct fingerprints: their components are those of all pairs within 4 bits.
 
-    Groups of up to `hot` fingerprints that share a key give their linked pairs. In a larger group
-    every fingerprint names all words within two bits of it that keep the key; two fingerprints are
-    within four bits just if they name a common word, so each is linked to the smallest that names it.
-    That costs about a thousand rows for each member, however large the group is.
+    A key is a choice of all but four groups and their bits. Keys of up to `hot` fingerprints give their
+    linked pairs. Of a larger one every fingerprint names all words within two bits of it that keep the
+    key; two fingerprints are within four bits just if they name a common word, so each is linked to the
+    smallest that names it. That costs 500 to 1000 rows for each member, however many there are.
     """
     if not 0 <= bits <= 4:
-        raise ValueError("six bit groups prove at most 4 differing bits")
-    fields, pairs = _fields(), _pairs()
-    part = [F.shiftrightunsigned("fp", s).bitwiseAND(F.lit(m)) for s, m in fields]
-    keys = F.array(*[F.lit(n << 22).bitwiseOR(F.shiftleft(part[i], 11)).bitwiseOR(part[j]) for n, (i, j) in enumerate(pairs)])
-    rows = with_pivots(fps).select("fp", *[f"p{i}" for i in range(N_PIVOTS)], F.explode(keys).alias("key"))
-    many = scratch.save(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key"), "hot")
+        raise ValueError("all but four equal groups prove at most 4 differing bits")
+    groups = groups or groups_for(fps.count())
+    fields, chosen = _fields(groups), list(itertools.combinations(range(groups), groups - 4))
+    part = [F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in fields]
+
+    def key(n: int, own: tuple[int, ...]) -> Column:
+        out = F.lit(n).cast("long")
+        for g in own:
+            out = F.shiftleft(out, fields[g][1]).bitwiseOR(part[g])
+        return F.struct(F.lit(n).alias("n"), out.alias("key"))
+
+    rows = with_pivots(fps).select("fp", *[f"p{i}" for i in range(N_PIVOTS)], F.explode(F.array(*[key(n, own) for n, own in enumerate(chosen)])).alias("x")).select("fp", *[f"p{i}" for i in range(N_PIVOTS)], "x.n", "x.key")
+    many = scratch.save(rows.groupBy("n", "key").agg(F.count("*").alias("size")).where(F.col("size") > hot).select("n", "key"), "hot")
     some_hot = bool(many.take(1))
-    cool = rows.join(many, "key", "left_anti") if some_hot else rows
+    cool = rows.join(many, ["n", "key"], "left_anti") if some_hot else rows
     x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    same = [F.when(F.shiftrightunsigned(x, s).bitwiseAND(F.lit(m)) == 0, 1 << g).otherwise(0) for g, (s, m) in enumerate(fields)]
-    agree = sum(same[1:], same[0])
-    # a pair that shares several keys is reported by the first of them: its two lowest equal groups
-    lowest = agree.bitwiseAND(-agree)
-    rest = agree - lowest
-    first = lowest.bitwiseOR(rest.bitwiseAND(-rest))
-    masks = F.array(*[F.lit((1 << i) | (1 << j)) for i, j in pairs])
-    mine = F.get(masks, F.shiftright("a.key", 22).cast("int"))
+    same = [F.when(F.shiftrightunsigned(x, s).bitwiseAND(F.lit((1 << w) - 1)) == 0, 1 << g).otherwise(0) for g, (s, w) in enumerate(fields)]
+    # a pair that shares several keys is reported by the first of them: its lowest equal groups
+    rest = sum(same[1:], same[0])
+    first = F.lit(0)
+    for _ in range(groups - 4):
+        lowest = rest.bitwiseAND(-rest)
+        first, rest = first + lowest, rest - lowest
+    mine = F.get(F.array(*[F.lit(sum(1 << g for g in own)) for own in chosen]), F.col("a.n"))
     a, b = cool.alias("a"), cool.alias("b")
-    met = (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & within("a", "b", bits)
+    met = (F.col("a.n") == F.col("b.n")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & within("a", "b", bits)
     met = met if some_hot else met & (first == mine)
     out = a.join(b, met).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
     if not some_hot:
         return out
-    flips = [[0] + [1 << i for i in free] + [(1 << i) | (1 << j) for k, i in enumerate(free) for j in free[k + 1 :]] for free in ([b for g, (s, m) in enumerate(fields) if g not in p for b in range(s, s + m.bit_length())] for p in pairs)]
+    if bits < 4:  # a midpoint proves four bits; a smaller radius is checked on the pairs themselves
+        raise ValueError("keys above the hot size are linked at 4 bits only")
+    free = [[b for g, (s, w) in enumerate(fields) if g not in own for b in range(s, s + w)] for own in chosen]
+    flips = [[0] + [1 << i for i in bits_] + [(1 << i) | (1 << j) for i, j in itertools.combinations(bits_, 2)] for bits_ in free]
     signed = lambda v: v - (1 << 64) if v >= 1 << 63 else v
     spark = fps.sparkSession
-    near = spark.createDataFrame([(n, signed(v)) for n, vs in enumerate(flips) for v in vs], "n long, flip long")
-    named = rows.join(many, "key").select("key", "fp", F.shiftright("key", 22).alias("n")).join(F.broadcast(near), "n").select("n", F.col("fp").bitwiseXOR(F.col("flip")).alias("word"), "fp")
+    near = spark.createDataFrame([(n, signed(v)) for n, vs in enumerate(flips) for v in vs], "n int, flip long")
+    named = rows.join(many, ["n", "key"]).select("n", "fp").join(F.broadcast(near), "n").select("n", F.col("fp").bitwiseXOR(F.col("flip")).alias("word"), "fp")
     low = named.groupBy("n", "word").agg(F.min("fp").alias("m"), F.max("fp").alias("top")).where("m < top").drop("top")
     starred = named.join(low, ["n", "word"]).where("fp != m").select(F.col("fp").alias("a"), F.col("m").alias("b"))
-    # a midpoint proves four bits; a smaller radius is checked on the pairs themselves
-    if bits < 4:
-        raise ValueError("groups above the hot size are linked at 4 bits only")
     return out.union(starred).distinct()
 
 
-def simhash_components(docs: DataFrame, words: int = 4, bits: int = 4, hot: int = 2000) -> DataFrame:
+def simhash_components(docs: DataFrame, words: int = 4, bits: int = 4, hot: int = 2000, groups: int | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row.
 
     component_id is the smallest doc_id that links reach. Null and empty texts have fingerprint zero
@@ -165,7 +174,7 @@ def simhash_components(docs: DataFrame, words: int = 4, bits: int = 4, hot: int
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.save(fingerprints(docs, words), "fps")
     firsts = scratch.save(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts")
-    roots = components(links(firsts.select("fp"), scratch, bits, hot), scratch)
+    roots = components(links(firsts.select("fp"), scratch, bits, hot, groups), scratch)
     lowest = firsts.join(roots, F.col("fp") == F.col("node")).groupBy("root").agg(F.min("first").alias("component_id"))
     named = scratch.save(firsts.join(roots, F.col("fp") == F.col("node"), "left").join(lowest, "root", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")), "named")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
