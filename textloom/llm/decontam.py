@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import texts
+from textloom.llm.common import Scratch, texts
 
 HASHES = 48
 WORD = re.compile(r"\w+")
@@ -84,11 +84,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, containm
     """(doc_id, item_id, shared, item_shingles, containment) of every row and item it contains.
 
     containment is the share of the item's distinct word shingles that the document has. Items are read
-    to the driver in blocks of `items_a_pass` and each block is held against all documents. Items and
+    to the driver in blocks of `items_a_pass`, one at a time, and each block is held against all
+    documents; where there are several, each writes its rows before the next is read. Items and
     texts of fewer than `words` words, nulls and empty texts match nothing; repeated rows match each.
     """
     items = benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit(""))).distinct()
-    out, block = None, []
+    out, block, n = None, [], 0
 
     def one_pass(block: list[tuple[int, str]]) -> DataFrame:
         ids = [i for i, _ in block]
@@ -124,11 +125,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, containm
 
         return texts(docs).mapInArrow(run, "doc_id long, item_id long, shared long, item_shingles long, containment double")
 
+    scratch = Scratch(docs.sparkSession, "leaks")
     for row in items.toLocalIterator():
-        block.append((row[0], row[1]))
         if len(block) == items_a_pass:
-            out, block = one_pass(block) if out is None else out.union(one_pass(block)), []
-    return (out.union(one_pass(block)) if block else out) if out is not None else one_pass(block)
+            part = scratch.save(one_pass(block), f"pass{n}")
+            out, block, n = part if out is None else out.union(part), [], n + 1
+        block.append((row[0], row[1]))
+    last = one_pass(block)
+    return last if out is None else out.union(last)
 
 
 SQL = """
