@@ -1,9 +1,9 @@
 """Personal data: fixed patterns, then identifiers found by the contexts in which those stand.
 
-Base spans come from four patterns. They seed the bootstrapping: the two words before a base span
-form a lexical pattern, all identifier-like strings in the corpus that follow a pattern are its
-instances, and scores pass between patterns and instances for a few rounds. Identifiers that no base
-pattern matches are reported where a high-confidence pattern precedes them.
+Base spans come from four patterns. They seed the bootstrapping: the two words before a base span, and
+the two words after it, form lexical patterns, all identifier-like strings in the corpus that stand
+beside a pattern are its instances, and scores pass between patterns and instances for a few rounds.
+Identifiers that no base pattern matches are reported where a high-confidence pattern stands beside them.
 
 Only DataFrame functions; texts are never split into rows except around identifiers.
 """
@@ -25,10 +25,10 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: An identifier-like string: a run with a digit in it, or a local part with its at sign.
-CANDIDATE = r"(?<![A-Za-z0-9@._+/-])(?=[A-Za-z@._+/-]*+[0-9])[A-Za-z0-9@._+/-]{4,}+"
+#: An identifier-like string: a local part with its host, groups of digits, or a run with a digit in it.
+CANDIDATE = r"(?<![A-Za-z0-9@._+/-])(?:[A-Za-z0-9._+-]++@[A-Za-z0-9-][A-Za-z0-9.-]*+|[+(]?[0-9][0-9().-]*(?:\x20[(0-9][0-9().-]*)+(?<=[0-9])|(?=[A-Za-z@._+/-]*+[0-9])[A-Za-z0-9@._+/-]{4,}+)"
 OCTET = r"^0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])$"
-#: Code points before a span in which its two context words must stand.
+#: Code points before or after a span in which its two context words must stand.
 REACH = 64
 
 
@@ -57,15 +57,16 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(email, ip, card, phone))
 
 
-def _context(text: Column, start: Column) -> Column:
-    """The two words before a span, lower-cased and with digits as 0; null where there aren't two."""
-    before = F.substring(text, F.greatest(start - REACH, F.lit(0)) + 1, F.least(start, F.lit(REACH)))
-    found = F.regexp_extract(F.regexp_replace(F.lower(before), "[0-9]", "0"), r"(?:^|\s)(\S+\s+\S+)\s+$", 1)
-    found = F.regexp_replace(found, r"\s+", " ")
-    return F.when(found != "", found)
+def _contexts(text: Column, start: Column, end: Column) -> Column:
+    """The patterns beside a span: the two words before it and the two after it, lower-cased and with digits as 0, if there are two."""
+    plain = lambda x: F.regexp_replace(F.lower(x), "[0-9]", "0")
+    before = F.regexp_extract(plain(F.substring(text, F.greatest(start - REACH, F.lit(0)) + 1, F.least(start, F.lit(REACH)))), r"(?:^|\s)(\S+\s+\S+)\s+$", 1)
+    after = F.regexp_extract(plain(F.substring(text, end + 1, F.lit(REACH))), r"^\s+(\S+\s+\S+)(?:\s|$)", 1)
+    named = lambda side, x: F.concat(F.lit(side), F.regexp_replace(x, r"\s+", " "))
+    return F.filter(F.array(named("<", before), named(">", after)), lambda x: F.length(x) > 1)
 
 
-def find_personal_data(docs: DataFrame, rounds: int = 3, support: int = 5, purity: float = 0.9, confidence: float = 0.8, block: int = 100_000) -> DataFrame:
+def find_personal_data(docs: DataFrame, rounds: int = 3, support: int = 5, purity: float = 0.9, confidence: float = 0.8) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row.
 
     A pattern needs `support` distinct seed strings, `purity` of them of one kind, and a confidence:
@@ -81,21 +82,21 @@ def find_personal_data(docs: DataFrame, rounds: int = 3, support: int = 5, purit
         "doc_id",
         F.xxhash64("text").alias("h"),
         F.transform("base", lambda x: F.struct(x["s"], x["k"], x["e"])).alias("base"),
-        F.transform(F.concat("base", "found"), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.xxhash64(F.lower(x["m"])).alias("v"), _context(F.col("text"), x["s"]).alias("c"))).alias("near"),
+        F.transform(F.concat("base", "found"), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.xxhash64(F.lower(x["m"])).alias("v"), _contexts(F.col("text"), x["s"], x["e"]).alias("cs"))).alias("near"),
     )
     around = scratch.save(around, "around")
     spots = around.where(F.size("near") > 0).select("doc_id", "h", F.inline("near")).distinct()
+    beside = spots.withColumn("c", F.explode("cs")).drop("cs")
     # an identifier that overlaps a base span of its text is no discovery
-    base_only, other = spots.where(f"k < {len(BASE)}"), spots.where(f"k = {len(BASE)}")
-    seeds = base_only.where("c is not null").groupBy("c", "k").agg(F.count_distinct("v").alias("n"))
+    base_only = spots.where(f"k < {len(BASE)}")
+    seeds = beside.where(f"k < {len(BASE)}").groupBy("c", "k").agg(F.count_distinct("v").alias("n"))
     kinds = seeds.groupBy("c").agg(F.sum("n").alias("n"), F.max(F.struct("n", "k")).alias("best"))
     patterns = kinds.where((F.col("n") >= support) & (F.col("best.n") >= purity * F.col("n"))).select("c", F.col("best.k").alias("kind"))
-    patterns = scratch.save(patterns.withColumn("slot", F.pmod(F.xxhash64("c"), F.lit(1 << 20))), "patterns")
+    patterns = scratch.save(patterns.withColumn("p", F.xxhash64(F.expr("substring(c, 2)"))), "patterns")
     found = None
-    n = patterns.count()
-    if n:
-        uses = _uses(body, patterns, n, block)
-        graph = patterns.join(uses, "c").join(spots.where("c is not null"), "c").select("doc_id", "h", "s", "e", "k", "v", "c", "kind", "uses")
+    if patterns.take(1):
+        uses = _uses(body, patterns)
+        graph = patterns.join(uses, "p").join(beside, "c").select("doc_id", "h", "s", "e", "k", "v", "c", "kind", "uses")
         graph = scratch.save(graph, "graph")
         edges = scratch.save(graph.groupBy("c", "kind", "uses", "v").agg(F.count("*").alias("n"), F.max((F.col("k") < len(BASE)).cast("double")).alias("seed")), "edges")
         scores = edges.groupBy("v").agg(F.max("seed").alias("score"))
@@ -120,17 +121,16 @@ def find_personal_data(docs: DataFrame, rounds: int = 3, support: int = 5, purit
     )
 
 
-def _uses(body: DataFrame, patterns: DataFrame, n: int, block: int) -> DataFrame:
-    """(c, uses): in how many places of the whole corpus a pattern's two words stand.
+def _uses(body: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(p, uses): in how many places of the whole corpus the two words of each pattern stand, p their hash.
 
-    Patterns are broadcast as hashes in blocks of about `block` rows, one pass over the texts for each.
+    One pass over the texts. Hashes of few patterns are broadcast; those of many meet the pairs, which
+    are counted first, by a shuffle.
     """
-    words = F.split(F.regexp_replace(F.lower(F.col("text")), "[0-9]", "0"), r"\s+")
-    pairs = body.select(words.alias("w")).select(F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 2, F.lit(0))), lambda i: F.xxhash64(F.concat_ws(" ", F.get("w", i), F.get("w", i + 1))))).alias("p"))
-    blocks = -(-n // block)
-    out = None
-    for b in range(blocks):
-        mine = patterns.where(F.pmod("slot", F.lit(blocks)) == b).select("c", F.xxhash64("c").alias("p"))
-        part = pairs.join(F.broadcast(mine), "p").groupBy("c").agg(F.count("*").alias("uses"))
-        out = part if out is None else out.union(part)
-    return out
+    words = F.filter(F.split(F.regexp_replace(F.lower(F.col("text")), "[0-9]", "0"), r"\s+"), lambda x: x != "")
+    hashes = F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.xxhash64(F.concat_ws(" ", F.get("w", i), F.get("w", i + 1))))
+    pairs = body.select(words.alias("w")).where(F.size("w") > 1).select(F.explode(hashes).alias("p"))
+    wanted = patterns.select("p").distinct()
+    if wanted.count() <= 1_000_000:
+        pairs = pairs.join(F.broadcast(wanted), "p")
+    return pairs.groupBy("p").agg(F.count("*").alias("uses")).join(wanted, "p")
