@@ -2,7 +2,8 @@
 
 Every place where the format's magic stands is a candidate record. Tasks parse each candidate's header
 and emit the offset of its successor; pointer jumping from each file's start keeps the candidates that
-the chain reaches, so magic inside a payload starts no record.
+the chain reaches, so magic inside a payload starts no record. The reader takes any WARC/1.0 or 1.1
+archive: a payload is the record's block, less the HTTP head that its content type tells of.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from textloom.llm.common import Scratch
 
 MAGIC = "WARC/1.1\r\n"
+#: Where a candidate may start; the rest of the version and its line end follow.
+MARK = "WARC/1."
 CRLF2 = "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 URN = "urn:textloom:page:"
@@ -59,8 +62,8 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, date: str =
 
 
 def _scan(spark: SparkSession, path: str) -> DataFrame:
-    """(file, block, n, value): what follows each magic, in the order of each file's blocks."""
-    raw = spark.read.option("lineSep", MAGIC).text(path)
+    """(file, block, n, value): what follows each mark, in the order of each file's blocks."""
+    raw = spark.read.option("lineSep", MARK).text(path)
     return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), "value")
 
 
@@ -85,51 +88,60 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """
     head = F.substring_index("value", CRLF2, 1)
     field = lambda name, form: F.regexp_extract(F.col("head"), rf"(?im)^{name}:[ \t]*{form}[ \t]*\r?$", 1)
-    seg = _scan(spark, path).withColumn("head", F.when(F.instr("value", CRLF2) > 0, head))
+    seg = _scan(spark, path).withColumn("head", F.when(F.col("value").rlike(r"^[01]\r\n") & (F.instr("value", CRLF2) > 0), head))
     seg = seg.withColumn("skip", (F.octet_length("head") + 4).cast("long")).withColumn("length", field("Content-Length", r"(\d{1,18})").try_cast("long"))
     whole = F.octet_length("value") == F.col("skip") + F.col("length") + 4
-    body = F.expr(f"substring(cast(value as binary), int(skip + 1 + {len(HTTP)}), int(length - {len(HTTP)}))")
+    block = F.expr("substring(cast(value as binary), int(skip + 1), int(length))")
+    spoken = F.substring_index(block.cast("string"), CRLF2, 1)
+    seg = seg.withColumn("web", F.coalesce(F.lower(field("Content-Type", r"(\S+)[^\r\n]*")).startswith("application/http"), F.lit(False)))
+    seg = seg.withColumn("http", F.when(F.col("web"), F.least(F.octet_length(spoken) + 4, F.col("length"))).otherwise(0).cast("long"))
+    body = F.expr("substring(cast(value as binary), int(skip + 1 + http), int(length - http))")
     narrow = seg.select(
-        "file", "block", "n", F.octet_length("value").cast("long").alias("bytes"), "skip", "length",
+        "file", "block", "n", F.octet_length("value").cast("long").alias("bytes"), "skip", "length", "web", "http",
         field("WARC-Type", r"(\S+)").alias("kind"), field("WARC-Record-ID", rf"<{URN}(-?\d*)>").alias("page"), field("WARC-Refers-To", rf"<{URN}(-?\d*)>").alias("refers"),
-        field("WARC-Payload-Digest", r"sha1:(\S+)").alias("said"), F.when(whole & (F.col("length") >= len(HTTP)), base32_sha1(body)).alias("digest"),
+        field("WARC-Payload-Digest", r"sha1:(\S+)").alias("said"), F.when(whole, base32_sha1(body)).alias("digest"),
     )
-    schema = "file string, start long, stop long, record_type string, page string, refers string, header_digest string, payload_bytes long, payload_digest string"
+    schema = "file string, start long, stop long, web boolean, record_type string, page string, refers string, header_digest string, payload_bytes long, payload_digest string"
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches)).sort_by([("block", "ascending"), ("n", "ascending")])
         size = t["bytes"].to_numpy()
-        offset = np.concatenate([[0], np.cumsum(size + len(MAGIC))])[:-1]  # of what follows the magic
+        offset = np.concatenate([[0], np.cumsum(size + len(MARK))])[:-1]  # of what follows the mark
         skip, length = (t[c].fill_null(-1).to_numpy().astype(np.int64) for c in ("skip", "length"))
         ok = (offset > 0) & (skip >= 0) & (length >= 0)
         at = np.flatnonzero(ok)
-        starts, stops = offset[at] - len(MAGIC), offset[at] + skip[at] + length[at] + 4
+        starts, stops = offset[at] - len(MARK), offset[at] + skip[at] + length[at] + 4
         at = at[chain(starts, stops)]
         r = t.take(pa.array(at))
         stop = offset[at] + skip[at] + length[at] + 4
-        payload = np.maximum(length[at] - len(HTTP), 0)
-        yield from pa.table({"file": r["file"], "start": pa.array(offset[at] - len(MAGIC)), "stop": pa.array(stop), "record_type": r["kind"], "page": r["page"], "refers": r["refers"], "header_digest": r["said"], "payload_bytes": pa.array(payload), "payload_digest": r["digest"]}).to_batches()
+        payload = length[at] - r["http"].fill_null(0).to_numpy()
+        yield from pa.table({"file": r["file"], "start": pa.array(offset[at] - len(MARK)), "stop": pa.array(stop), "web": r["web"], "record_type": r["kind"], "page": r["page"], "refers": r["refers"], "header_digest": r["said"], "payload_bytes": pa.array(payload), "payload_digest": r["digest"]}).to_batches()
 
     records = Scratch(spark, "warc").save(narrow.groupBy("file").applyInArrow(lambda t: pa.Table.from_batches(list(follow(t.to_batches())), schema=WANTED), schema), "records")
     broken = records.where("record_type = 'response' and payload_digest is null")
     files = broken.select("file").distinct()
     if files.take(1):
-        spans = broken.select("file", "start", "stop")
-        bounds = spans.groupBy("file").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+        spans = broken.select("file", "start", "stop", "web")
+        bounds = spans.groupBy("file").agg(F.collect_list(F.struct("start", "stop", "web")).alias("spans"))
         again = _scan(spark, path).join(F.broadcast(bounds), "file")  # a row for each file that is read again
 
         def mend(t: pa.Table) -> pa.Table:
             t = t.sort_by([("block", "ascending"), ("n", "ascending")])
-            data = MAGIC.encode().join(v.encode() for v in t["value"].to_pylist())
-            out = [(t["file"][0].as_py(), s["start"], b32encode(hashlib.sha1(data[s["start"] : s["stop"] - 4].split(CRLF2.encode(), 2)[2]).digest()).decode()) for s in t["spans"][0].as_py()]
-            return pa.table({k: [x[i] for x in out] for i, k in enumerate(("file", "start", "mended"))}, schema=pa.schema([("file", pa.string()), ("start", pa.int64()), ("mended", pa.string())]))
-
-        mended = again.groupBy("file").applyInArrow(mend, "file string, start long, mended string")
-        records = records.join(mended, ["file", "start"], "left").withColumn("payload_digest", F.coalesce("payload_digest", "mended")).drop("mended")
+            data = MARK.encode().join(v.encode("utf-8", "surrogatepass") for v in t["value"].to_pylist())
+            out = []
+            for s in t["spans"][0].as_py():
+                block = data[s["start"] : s["stop"] - 4].split(CRLF2.encode(), 1)[1]
+                payload = block.partition(CRLF2.encode())[2] if s["web"] else block
+                out.append((t["file"][0].as_py(), s["start"], b32encode(hashlib.sha1(payload).digest()).decode(), len(payload)))
+            return pa.table({k: [x[i] for x in out] for i, k in enumerate(MENDED.names)}, schema=MENDED)
+
+        mended = again.groupBy("file").applyInArrow(mend, "file string, start long, mended string, mended_bytes long")
+        records = records.join(mended, ["file", "start"], "left").withColumns({"payload_digest": F.coalesce("payload_digest", "mended"), "payload_bytes": F.coalesce("mended_bytes", "payload_bytes")}).drop("mended", "mended_bytes")
     return records.select("file", "start", "record_type", F.col("page").try_cast("long").alias("page_id"), F.col("refers").try_cast("long").alias("refers_to"), "header_digest", "payload_bytes", "payload_digest")
 
 
-WANTED = pa.schema([("file", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("record_type", pa.string()), ("page", pa.string()), ("refers", pa.string()), ("header_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
+MENDED = pa.schema([("file", pa.string()), ("start", pa.int64()), ("mended", pa.string()), ("mended_bytes", pa.int64())])
+WANTED = pa.schema([("file", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("web", pa.bool_()), ("record_type", pa.string()), ("page", pa.string()), ("refers", pa.string()), ("header_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
