@@ -1,9 +1,12 @@
 """Each operator against brute force or an exact round trip, with nulls, empty and repeated rows and clashing columns."""
 
 import base64
+import gzip
 import hashlib
 import itertools
+import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -39,13 +42,42 @@ def test_boundaries_are_optimal():
 
 def test_packing(spark):
     df = docs(spark, [(1, "a b c"), (1, "a b c"), (2, ""), (3, None), (4, " ".join(["w"] * 25)), (None, "x")])
-    rows = packing.pack(df, context=10, buckets=2, budget=20, blocks=4).collect()
+    rows = packing.pack(df, context=10, buckets=2, budget=20, block_rows=1).collect()
     assert sorted((r["doc_id"] or 0, r["piece"], r["n_tokens"]) for r in rows) == [(0, 0, 1), (1, 0, 3), (1, 0, 3), (4, 0, 10), (4, 1, 10), (4, 2, 5)]
     seen = {(r["bucket"], r["batch"], r["slot"]) for r in rows}
     assert len(seen) == len(rows) and all(r["slot"] * r["bucket"] < 20 and r["padding"] == r["bucket"] - r["n_tokens"] for r in rows)
+    assert {(r["doc_id"], r["piece"]): r["content"] for r in rows}[4, 2] == " w w w w w"
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_packing_brute_force(spark):
+    """Pieces joined are the text, each bucket is the smallest that holds a piece, and every batch but a bucket's last is full."""
+    rng = random.Random(14)
+    rows = [(i, "\t" * (i % 2) + prose(rng, rng.choice([1, 3, 9, 40, 200])).replace(" ", rng.choice([" ", " \n "])) + " \n" * (i % 3)) for i in range(120)]
+    got = packing.pack(docs(spark, rows), context=50, buckets=4, budget=200, block_rows=10).collect()
+    for i, t in rows:
+        own = sorted((r for r in got if r["doc_id"] == i), key=lambda r: r["piece"])
+        assert "".join(r["content"] for r in own) == t.rstrip() and [r["n_tokens"] for r in own] == [min(50, len(t.split()) - k) for k in range(0, len(t.split()), 50)]
+    counts = np.bincount([r["n_tokens"] for r in got], minlength=51)
+    edges = packing.boundaries(counts, 4)
+    batches = {}
+    for r in got:
+        assert r["bucket"] == min(e for e in edges if e >= r["n_tokens"])
+        batches.setdefault(r["bucket"], {}).setdefault(r["batch"], []).append(r["slot"])
+    for b, of in batches.items():
+        per, last = max(1, 200 // b), max(of)
+        assert sorted(of) == list(range(last + 1)) and all(sorted(s) == list(range(per)) for k, s in of.items() if k != last) and sorted(of[last]) == list(range(len(of[last])))
+
+
+def test_packing_token_ids(spark, tmp_path):
+    tokenizers = pytest.importorskip("tokenizers")
+    tok = tokenizers.Tokenizer(tokenizers.models.WordLevel({"a": 0, "b": 1, "?": 2}, unk_token="?"))
+    tok.pre_tokenizer = tokenizers.pre_tokenizers.Whitespace()
+    tok.save(str(tmp_path / "t.json"))
+    rows = packing.pack(docs(spark, [(1, "a b a b b"), (2, None)]), context=3, encode=packing.tokens_of(str(tmp_path / "t.json"))).collect()
+    assert sorted((r["piece"], list(r["content"])) for r in rows) == [(0, [0, 1, 0]), (1, [1, 1])]
+
+
 def test_licenses(spark):
     rows = [(1, "words here. Licensed under the Apache License,\nVersion 2.0. More"), (2, None), (3, ""), (4, "nothing to see"), (5, "Released under the MIT License."), (5, "Released under the MIT License.")]
     got = {(r["doc_id"], r["license"], r["dice"]) for r in licenses.scan_licenses(docs(spark, rows)).collect()}
@@ -93,16 +125,45 @@ def test_secrets_allow_list_and_remainders(spark):
     assert got[4] == "entropy_mixed:0:26" and got[5] == "" == got[6]
 
 
+def window_bits(w):
+    digit, cased, plain = any(c.isdigit() for c in w), w.lower() != w and w.upper() != w, w.isalnum()
+    if digit and re.fullmatch("[A-Z2-7]+", w):
+        return 3.3
+    if digit and plain and not cased:
+        return 3.4
+    if digit and cased:
+        return 3.6
+    return 3.9 if digit or cased or (plain and not cased) else 4.1
+
+
+def direct_spans(s, w=20):
+    out = []
+    for i in range(len(s) - w + 1):
+        x = s[i : i + w]
+        if -sum((c := x.count(ch) / w) * math.log2(c) for ch in set(x)) > window_bits(x) + 1e-10:
+            if out and i <= out[-1][1]:
+                out[-1][1] = i + w
+            else:
+                out.append([i, i + w])
+    return out
+
+
 def test_entropy_matches_direct(spark):
+    """Runs of 1 to 5000 characters of several classes: the incremental counts give the spans of a rescan of every window."""
     rng = random.Random(5)
-    rows = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(18, 60))) for _ in range(30)]
+    rows = ["".join(rng.choice(chars) for _ in range(n)) for n in (1, 19, 20, 21, 60, 300, 1000, 5000) for chars in (secrets.ALPHABET[:4], secrets.ALPHABET[:16], secrets.ALPHABET[10:62], secrets.ALPHABET, "abcdef0123456789")]
+    got = spark.createDataFrame(list(enumerate(rows)), "i int, s string").repartition(8).select("i", secrets.high_entropy(F.col("s"), secrets.mixed_bits).alias("r")).collect()
+    assert {r["i"]: [list(x) for x in r["r"]] for r in got} == {i: direct_spans(s) for i, s in enumerate(rows)}
 
-    def direct(s, bits, w=20):
-        at = [i for i in range(len(s) - w + 1) if -sum((c := s[i : i + w].count(ch) / w) * np.log2(c) for ch in set(s[i : i + w])) > bits + 1e-9]
-        return (at[0], at[-1] + w) if at else (-1, -1)
 
-    got = spark.createDataFrame([(i, s) for i, s in enumerate(rows)], "i int, s string").select("i", secrets.high_entropy(F.col("s"), 3.3).alias("r")).select("i", "r.lo", "r.hi").collect()
-    assert {r["i"]: (r["lo"], r["hi"]) for r in got} == {i: direct(s, 3.3) for i, s in enumerate(rows)}
+def test_secrets_allow_words_at_every_place(spark):
+    """A run is cut where an allowed word stands, wherever that is; what is left is scored as if it stood alone."""
+    key = "zQ7xK2mP9vL4nR8tY3wB6cF1" * 12
+    rows = [(i, key[:i] + "example" + key[i:]) for i in range(0, len(key), 13)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(docs(spark, rows)).collect()}
+    for i, _ in rows:
+        want = [f"entropy_mixed:{a}:{b}" for a, b in direct_spans(key[:i])] + [f"entropy_mixed:{i + 7 + a}:{i + 7 + b}" for a, b in direct_spans(key[i:])]
+        assert got[i] == ",".join(want), i
 
 
 def test_warc(spark):
@@ -116,6 +177,21 @@ def test_warc(spark):
     assert [(got[i]["record_type"], got[i]["refers_to"]) for i in (1, 2, 3, 4)] == [("revisit", 2), ("response", None), ("revisit", 4), ("response", None)]
 
 
+def test_warc_of_another_writer(spark, tmp_path):
+    """Other HTTP heads, WARC/1.0, records that aren't HTTP, a gzip member for each record."""
+    def record(kind, page, ctype, block, version="1.0"):
+        return f"WARC/{version}\r\nWARC-Type: {kind}\r\nContent-Type: {ctype}\r\nWARC-Record-ID: <urn:textloom:page:{page}>\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    bodies = {1: b"<p>one</p>", 2: "é WARC/1.0\r\nWARC-Type: response\r\n\r\n".encode(), 3: b""}
+    parts = [record("warcinfo", "", "application/warc-fields", b"software: x\r\n")] + [record("response", i, "application/http;msgtype=response", b"HTTP/1.0 404 Not Found\r\nX-Long: " + b"y" * 50 * i + b"\r\n\r\n" + b, "1.1" if i == 3 else "1.0") for i, b in bodies.items()]
+    parts.append(record("resource", 4, "text/plain", b"plain \r\n\r\n text"))
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, parts)))
+    got = {r["page_id"]: r for r in warc.read_archive(spark, str(tmp_path)).collect()}
+    assert [got[k]["record_type"] for k in (None, 1, 2, 3, 4)] == ["warcinfo", "response", "response", "response", "resource"]
+    for i, b in (bodies | {4: b"plain \r\n\r\n text"}).items():
+        assert (got[i]["payload_bytes"], got[i]["payload_digest"]) == (len(b), base64.b32encode(hashlib.sha1(b).digest()).decode()), i
+
+
 def test_reject_is_what_classify_calls_toxic(spark):
     """A text without words scores the prior."""
     df = docs(spark, [(2, ""), (3, None)])
@@ -291,7 +367,7 @@ def test_imatch_band_is_by_term(spark):
     rows += [(30, "common"), (31, "")]
     got = {r["doc_id"]: r["fingerprint"] for r in imatch.fingerprint_edits(docs(spark, rows)).collect()}
     assert got[0] == got[1] == got[30]
-    assert imatch.band_of(docs(spark, rows), 2, 0.1).tolist() == sorted(int(imatch.terms(w)[0]) for w in ("common", "twice"))
-    assert len(imatch.band_of(docs(spark, rows).limit(0), 2, 0.1)) == 0
+    assert imatch.band_of(docs(spark, rows), 1e-4, 0.1).tolist() == sorted(int(imatch.terms(w)[0]) for w in ("common", "twice"))
+    assert len(imatch.band_of(docs(spark, rows).limit(0), 1e-4, 0.1)) == 0
     t = imatch.terms(f"w{a} w{b} common")
     assert imatch.in_band(t, imatch.terms("common")).sum() == 1 and not imatch.in_band(t, np.zeros(0, np.uint64)).any()
