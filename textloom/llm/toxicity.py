@@ -1,22 +1,26 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 A word's input joins its own vector (zero for words seen in few training texts) and the mean vector of
-its character pairs. Windows of 32
-words, each half over the last, cover a text; a text's score is that of its most toxic window.
+its character pairs. Overlapping windows of 32 words, one from every eighth word on (every sixteenth in
+training), cover a text; a text's score is that of its most toxic window.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textloom.llm.common import texts
 
-LENGTH, STRIDE = 32, 16
+LENGTH = 32
+#: Words from one window's start to the next, in scoring and in training.
+STRIDE, TRAINING_STRIDE = 8, 16
 #: From this score on a text is toxic, in op5 and in the pipeline.
 THRESHOLD = 0.3
 PAIRS, HIDDEN = 1 << 11, 8
@@ -37,9 +41,9 @@ def pair_slots(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.delete((b * 263 + np.roll(b, -1)) % PAIRS, ends), sizes
 
 
-def windows(n: int) -> np.ndarray:
+def windows(n: int, stride: int = STRIDE) -> np.ndarray:
     """Starts of the windows that cover n words."""
-    return np.arange(0, max(1, n - LENGTH + STRIDE), STRIDE) if n else np.zeros(0, np.int64)
+    return np.arange(0, max(1, n - LENGTH + stride), stride) if n else np.zeros(0, np.int64)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -133,25 +137,30 @@ class Network:
 class Coder:
     """Texts as windows of indexes into a growing list of distinct words."""
 
-    def __init__(self):
+    def __init__(self, stride: int = STRIDE):
         self.index: dict[bytes, int] = {b"": 0}
         self.words: list[bytes] = [b""]
+        self.stride = stride
 
-    def code(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+    def code(self, text: str) -> np.ndarray:
+        """Windows by LENGTH; 0 past the text's end."""
         ws = words(text)
         index = self.index
         for w in set(ws).difference(index):
             index[w] = len(self.words)
             self.words.append(w)
-        starts = windows(len(ws))
-        padded = np.zeros(len(ws) + LENGTH, np.int64)
+        starts = windows(len(ws), self.stride)
+        padded = np.zeros(len(ws) + LENGTH, np.int32)
         padded[: len(ws)] = [index[w] for w in ws]
-        at = starts[:, None] + np.arange(LENGTH)
-        return padded[at], (at < len(ws)).astype(np.float32)
+        return padded[starts[:, None] + np.arange(LENGTH)]
 
 
-def _logits(net: Network, x: dict[str, np.ndarray], ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    return np.concatenate([net.run(x, ids[i : i + 4096], mask[i : i + 4096]) for i in range(0, len(ids), 4096)]) if len(ids) else np.zeros(0, np.float32)
+def mask_of(ids: np.ndarray) -> np.ndarray:
+    return (ids > 0).astype(np.float32)
+
+
+def _logits(net: Network, x: dict[str, np.ndarray], ids: np.ndarray) -> np.ndarray:
+    return np.concatenate([net.run(x, b, mask_of(b)) for b in (ids[i : i + 4096] for i in range(0, len(ids), 4096))]) if len(ids) else np.zeros(0, np.float32)
 
 
 def train(rows: list[tuple[str, int]], prior: float, epochs: int = 4, least: int = 5, seed: int = 7) -> Network:
@@ -160,12 +169,12 @@ def train(rows: list[tuple[str, int]], prior: float, epochs: int = 4, least: int
     A fifth of the rows sets the scale and shift of the final score, weighted to the class prior.
     """
     rng = np.random.default_rng(seed)
-    coder = Coder()
+    coder = Coder(TRAINING_STRIDE)
     coded = [coder.code(t) for t, _ in rows]
     label = np.array([y for _, y in rows], np.float32)
     held = rng.random(len(rows)) < 0.2
     seen = np.zeros((2, len(coder.words)))
-    for n, (i, _) in enumerate(coded):
+    for n, i in enumerate(coded):
         if not held[n]:
             seen[int(label[n])][np.unique(i)] += 1
     seen[:, 0] = 0
@@ -175,15 +184,16 @@ def train(rows: list[tuple[str, int]], prior: float, epochs: int = 4, least: int
     net.p["word"][0] = 0
     if not len(label) or label.min() == label.max():
         return net
-    owner = np.repeat(np.arange(len(rows)), [len(i) for i, _ in coded])
-    ids, mask = np.concatenate([i for i, _ in coded]), np.concatenate([m for _, m in coded])
+    owner = np.repeat(np.arange(len(rows)), [len(i) for i in coded])
+    ids = np.concatenate(coded)
+    del coded
     # word vectors start from the smoothed log-odds of the texts that hold them
     total = [max(1, int(((label == y) & ~held).sum())) for y in (0, 1)]
     odds = (np.log((seen[1] + 1) / (total[1] + 2)) - np.log((seen[0] + 1) / (total[0] + 2)))[known]
     net.p["word"][1:, :4] += (odds * seen.sum(0)[known] / (seen.sum(0)[known] + 20)).astype(np.float32)[:, None] * np.array([1, -1, 0.5, -0.5], np.float32)
     m1, m2, step = {k: np.zeros_like(v) for k, v in net.p.items()}, {k: np.zeros_like(v) for k, v in net.p.items()}, 0
     for epoch in range(epochs):
-        logit = _logits(net, net.project(net.inputs(coder.words)[0]), ids, mask)
+        logit = _logits(net, net.project(net.inputs(coder.words)[0]), ids)
         noise = logit + rng.standard_normal(len(logit)).astype(np.float32) * (0.3 if epoch else 1.0)
         order = np.lexsort((-noise, owner))
         first = np.r_[True, owner[order][1:] != owner[order][:-1]]
@@ -193,13 +203,13 @@ def train(rows: list[tuple[str, int]], prior: float, epochs: int = 4, least: int
         for i in range(0, len(pick), 256):
             b = pick[i : i + 256]
             distinct, local = np.unique(ids[b], return_inverse=True)
-            g = net.gradients([coder.words[j] for j in distinct], local.reshape(len(b), LENGTH), mask[b], label[owner[b]])
+            g = net.gradients([coder.words[j] for j in distinct], local.reshape(len(b), LENGTH), mask_of(ids[b]), label[owner[b]])
             step += 1
             for k, v in g.items():
                 m1[k] += 0.1 * (v - m1[k])
                 m2[k] += 0.01 * (v * v - m2[k])
                 net.p[k] -= 0.01 * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-6)
-    logit = _logits(net, net.project(net.inputs(coder.words)[0]), ids, mask)
+    logit = _logits(net, net.project(net.inputs(coder.words)[0]), ids)
     best = np.full(len(rows), -30.0)
     np.maximum.at(best, owner, logit)
     use = held & (best > -30) if len(set(label[held])) == 2 else best > -30
@@ -221,16 +231,16 @@ class Scorer:
         self.coder, self.done = Coder(), 0
         self.room = {d: np.zeros((1 << 14, 3 * HIDDEN), np.float32) for d in "fb"}
 
-    def _flush(self, held: list[tuple[int, np.ndarray, np.ndarray]], out: np.ndarray) -> None:
+    def _flush(self, held: list[tuple[int, np.ndarray]], out: np.ndarray) -> None:
         new = self.net.project(self.net.inputs(self.coder.words[self.done :])[0]) if self.done < len(self.coder.words) else {}
         for d, v in new.items():
             while len(self.room[d]) < self.done + len(v):
                 self.room[d] = np.concatenate([self.room[d], np.zeros_like(self.room[d])])
             self.room[d][self.done : self.done + len(v)] = v
         self.done = len(self.coder.words)
-        logit = _logits(self.net, self.room, np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]))
+        logit = _logits(self.net, self.room, np.concatenate([h[1] for h in held]))
         at = 0
-        for i, ids, _ in held:
+        for i, ids in held:
             out[i] = sigmoid(np.float64(self.net.scale * logit[at : at + len(ids)].max() + self.net.shift))
             at += len(ids)
         if self.done > self.most:
@@ -240,9 +250,9 @@ class Scorer:
         out = np.full(len(batch), float(self.net.prior))
         held, pending = [], 0
         for i, t in enumerate(batch):
-            ids, mask = self.coder.code(t.as_py() or "")
+            ids = self.coder.code(t.as_py() or "")
             if len(ids):
-                held.append((i, ids, mask))
+                held.append((i, ids))
                 pending += len(ids)
             if pending >= 4096:
                 self._flush(held, out)
@@ -279,18 +289,33 @@ def held_out(doc_id: str) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 2000) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 2000, most_chars: int = 16_000_000) -> Network:
     """A network fitted to at most `most` labelled rows of each class, drawn by the hash of their id.
 
-    Rows whose crc32(doc_id) mod 4 is 2 are never learnt from, neither their labels nor their prior.
+    Of these the rows whose texts begin within the first `most_chars` code points of their class are
+    learnt from, each whole, which bounds the memory. One executor task trains; only the network, of a
+    few MB, comes to the driver. Rows whose crc32(doc_id) mod 4 is 2 are never learnt from, neither
+    their labels nor their prior.
     """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).where(~held_out("doc_id")).select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).where(~held_out("doc_id")).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     drawn = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y in (0, 1)]
     chosen = drawn[0].union(drawn[1]).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "text"])
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)
+    rows = texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").withColumn("before", F.coalesce(F.sum(F.length("text")).over(order), F.lit(0)))
     prior = n.get(1, 0) / max(1, sum(n.values()))
-    return train(list(zip(rows["text"], rows["toxic"], strict=True)), prior)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[:2])
+        net = train([(t, y) for _, t, y in held], prior)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((net.vocabulary, net.p, net.scale, net.shift))], pa.binary())], ["net"])
+
+    made = rows.where(F.col("before") < most_chars).select("doc_id", "text", "toxic").coalesce(1).mapInArrow(run, "net binary").first()
+    net = Network({}) if made is None else Network.__new__(Network)
+    net.prior = prior
+    if made is not None:
+        net.vocabulary, net.p, net.scale, net.shift = pickle.loads(bytes(made[0]))
+    return net
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
