@@ -5,7 +5,7 @@ run() writes each stage's rows to the shared folder and reads them again as the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import decontam, linededup, packing, simhash, toxicity
@@ -19,9 +19,13 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def delete_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of line runs of 50 words or more go, and documents of which nothing is left."""
-    out = linededup.dedup_lines(docs).where((F.col("n_deleted") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    changed = out.withColumn("n_chars", F.when(F.col("n_deleted") == 0, F.col("n_chars")).otherwise(F.length("text")))
-    return changed.select(*docs.columns)
+    out = linededup.edited_rows(docs).where((F.col("n_deleted") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+
+    def kept(c: str) -> Column:
+        own = F.col("text") if c == "text" else F.col("row").getField(c)
+        return (F.when(F.col("n_deleted") == 0, own).otherwise(F.length("text").cast(docs.schema[c].dataType)) if c == "n_chars" else own).alias(c)
+
+    return out.select(*map(kept, docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
