@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from textloom.config import DEFAULT
 from textloom.functions.text import is_section_header, let, split_lines, strip
 
+# Separators in the order in which they are tried.
 SEPARATORS = ["\n\n", "\n", ". ", " "]
 
 

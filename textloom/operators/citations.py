@@ -31,6 +31,7 @@ def context(rows: DataFrame, key: str = "query_id", order: str = "final_rank") -
     return listed.select(key, F.array_join(F.transform("items", block), "\n\n").alias("context"))
 
 
+# What a prompt and an answer say without context.
 NO_CONTEXT = "(no relevant context found)"
 DECLINE = "I don't have information about that in the indexed documents."
 
@@ -41,3 +42,14 @@ def answer(queries: DataFrame, contexts: DataFrame, generate=None) -> DataFrame:
     rows = queries.join(contexts, "query_id", "left")
     prompt = F.concat(F.lit("Context:\n"), F.coalesce("context", F.lit(NO_CONTEXT)), F.lit("\n\nQuestion: "), "q_text")
     return rows.select("query_id", F.when(F.col("context").isNull(), DECLINE).otherwise(generate(prompt)).alias("answer"))
+
+
+def small_talk_prompt(message: Column, now: Column) -> Column:
+    """What a generator gets for small talk: the time it may tell, and the message."""
+    return F.concat(F.lit("CURRENT_DATETIME: "), now, F.lit("\n\nMESSAGE: "), message)
+
+
+def small_talk_reply(messages: DataFrame, now: Column, generate=None) -> DataFrame:
+    """messages with the column reply: generate maps the prompt to a text. No context is searched."""
+    generate = generate or (lambda prompt: F.concat(F.lit("stub: "), F.substring(prompt, 1, 200)))
+    return messages.withColumn("reply", generate(small_talk_prompt(F.col("text"), now)))

@@ -74,14 +74,19 @@ def vector_topk(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT.pool) ->
     return out.withColumn("vec_rank", F.row_number().over(w)).where(F.col("vec_rank") <= k)
 
 
-def keyword_topk(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT.keyword_limit, normalise=None) -> DataFrame:
+def keyword_topk(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT.keyword_limit, normalise=None, stop: list[str] | None = None, most: int = 1_000_000) -> DataFrame:
     """(query_id, chunk_id, hits, kw_rank): chunks that hold every term of a query, most occurrences first,
-    then shorter, then by id. An inverted-index join on terms; normalise may stem a column of terms."""
+    then shorter, then by id. An inverted-index join on terms; normalise may stem a column of terms, and
+    stop words count on neither side. Chunks meet the distinct terms of all queries first (broadcast if
+    there are at most `most`), so only asked terms are counted and shuffled."""
     term = normalise or (lambda c: c)
-    q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("q_text")))).alias("t")).select("query_id", term(F.col("t")).alias("term")).distinct()
+    words = lambda c: F.filter(tokens(c), lambda w: ~w.isin(stop)) if stop else tokens(c)
+    q = queries.select("query_id", F.explode(F.array_distinct(words(F.col("q_text")))).alias("t")).select("query_id", term(F.col("t")).alias("term")).distinct()
     need = q.groupBy("query_id").agg(F.count("*").alias("need"))
-    c = chunks.select("chunk_id", F.length("content").alias("len"), F.explode(tokens(F.col("content"))).alias("t")).select("chunk_id", "len", term(F.col("t")).alias("term"))
-    tf = c.groupBy("chunk_id", "len", "term").agg(F.count("*").alias("tf"))
+    wanted = q.select("term").distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= most else wanted
+    c = chunks.select("chunk_id", F.length("content").alias("len"), F.explode(words(F.col("content"))).alias("t")).select("chunk_id", "len", term(F.col("t")).alias("term"))
+    tf = c.join(wanted, "term", "left_semi").groupBy("chunk_id", "len", "term").agg(F.count("*").alias("tf"))
     met = tf.join(q, "term").groupBy("query_id", "chunk_id", "len").agg(F.count("*").alias("n"), F.sum("tf").alias("hits")).join(need, "query_id").where("n = need")
     w = Window.partitionBy("query_id").orderBy(F.desc("hits"), "len", "chunk_id")
     return met.withColumn("kw_rank", F.row_number().over(w)).where(F.col("kw_rank") <= k).select("query_id", "chunk_id", "hits", "kw_rank")

@@ -19,3 +19,14 @@ def stem(term: Column) -> Column:
 
 # Words that a search ignores.
 SEARCH_STOP_WORDS = ["a", "about", "an", "and", "are", "as", "at", "be", "by", "can", "do", "does", "for", "from", "has", "have", "he", "her", "his", "how", "i", "in", "is", "it", "its", "me", "my", "of", "on", "or", "she", "so", "that", "the", "their", "there", "they", "this", "to", "was", "we", "were", "what", "when", "where", "which", "who", "why", "will", "with", "you", "your"]
+
+
+def stem_sql(term: str) -> str:
+    """The same stem as SQL without look-behind."""
+    t = f"regexp_replace({term}, '^(.{{3,}})ational$', '\\1ate')"
+    t = f"regexp_replace({t}, '(ss|sh|ch|x|z)es$', '\\1')"
+    t = f"regexp_replace({t}, '^(.{{2,}})ies$', '\\1y')"
+    t = f"regexp_replace({t}, '([^su])s$', '\\1')"
+    t = f"regexp_replace({t}, '([aeiouy].{{0,12}}[^aeiou])(?:ingly|edly|ing|ed)$', '\\1')"
+    t = f"regexp_replace({t}, '(?:(b)b|(d)d|(f)f|(g)g|(m)m|(n)n|(p)p|(r)r|(t)t)$', '\\1\\2\\3\\4\\5\\6\\7\\8\\9')"
+    return f"CASE WHEN length({t}) >= 2 THEN regexp_replace({t}, '^(.{{3,}})(?:ly|e)$', '\\1') ELSE {term} END"

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textloom.functions import text as tx
-from textloom.operators import chunking, citations, retrieval, stemming, tagging
+from textloom.functions import times
+from textloom.operators import chunking, citations, embedding, retrieval, stemming, tagging
 from textloom.plans import index
-from textloom.sources import records
+from textloom.sources import assembly, html, records
 from textloom.streaming import sessions
 
 QUERIES: dict = {}
@@ -92,9 +94,19 @@ def keyword_match(spark, sf_dir):
     return retrieval.keyword_topk(chunks(spark, sf_dir), asked(spark, sf_dir))
 
 
-@query()
+_stop = ", ".join(f"'{w}'" for w in stemming.SEARCH_STOP_WORDS)
+
+
+def _stems(key: str, text: str, rows: str) -> str:
+    return f"SELECT {key}, {stemming.stem_sql('t')} AS term FROM (SELECT {key}, unnest(regexp_extract_all(lower({text}), '[a-z0-9]+')) AS t FROM {rows}) WHERE t NOT IN ({_stop})"
+
+
+@query(BASE + f""", sq AS (SELECT DISTINCT * FROM ({_stems("query_id", "q_text", "q")})), need AS (SELECT query_id, count(*) AS need FROM sq GROUP BY ALL),
+sc AS (SELECT chunk_id, term, count(*) AS tf FROM ({_stems("chunk_id", "content", "chunks")}) GROUP BY ALL)
+SELECT query_id, chunk_id, hits, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, length(content), chunk_id) AS kw_rank
+FROM (SELECT query_id, chunk_id, count(*) AS n, sum(tf)::BIGINT AS hits FROM sc JOIN sq USING (term) GROUP BY ALL) JOIN need USING (query_id) JOIN chunks USING (chunk_id) WHERE n = need QUALIFY kw_rank <= 15""")
 def keyword_match_stemmed(spark, sf_dir):
-    return retrieval.keyword_topk(chunks(spark, sf_dir), asked(spark, sf_dir), normalise=stemming.stem)
+    return retrieval.keyword_topk(chunks(spark, sf_dir), asked(spark, sf_dir), normalise=stemming.stem, stop=stemming.SEARCH_STOP_WORDS)
 
 
 @query(BASE + "SELECT query_id, chunk_id, bm25_raw, bm25_score FROM bm")
@@ -120,7 +132,28 @@ def diversify_order(spark, sf_dir):
     return retrieval.diversify(retrieval.shortlist(retrieval.candidates(c, q), c)).select("query_id", "chunk_id", "rank", "div_rank", "slot")
 
 
-@query()
+_compressed = """(SELECT query_id, chunk_id, CASE WHEN len(s) <= 3 THEN content ELSE array_to_string(list_filter(s, lambda x: list_contains(list_transform(r[1:3], lambda y: y.t), x)), ' ') END AS content
+  FROM (SELECT *, list_sort(list_transform(s, lambda x, i: {'o': -len(list_intersect(list_distinct(regexp_extract_all(lower(x), '[a-z0-9]+')), list_distinct(w))), 'i': i, 't': x})) AS r
+  FROM (SELECT query_id, chunk_id, content, regexp_extract_all(lower(q_text), '[a-z0-9]+') AS w, string_split(regexp_replace(regexp_replace(content, '^\\s+|\\s+$', '', 'g'), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS s
+  FROM fin JOIN chunks USING (chunk_id) JOIN q USING (query_id))))"""
+
+#: The relevance and redundancy picks as a recursive query: picked holds places in the order of div_rank.
+FINAL = BASE.replace("WITH chunks", "WITH RECURSIVE chunks", 1) + f""",
+sure AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY slot) AS final_rank FROM div WHERE slot IS NOT NULL QUALIFY final_rank <= 15),
+rest AS MATERIALIZED (SELECT d.query_id, d.chunk_id, row_number() OVER (PARTITION BY d.query_id ORDER BY div_rank) AS i, e, list_cosine_similarity(e, v) AS rel FROM div d JOIN chunks USING (chunk_id) JOIN q USING (query_id) WHERE slot IS NULL),
+sims AS MATERIALIZED (SELECT a.query_id, a.i, a.rel, list(list_cosine_similarity(a.e, b.e) ORDER BY b.i) AS s FROM rest a JOIN rest b USING (query_id) GROUP BY a.query_id, a.i, a.rel),
+m AS (SELECT query_id, 15 - (SELECT count(*) FROM sure WHERE sure.query_id = z.query_id) AS need, 0 AS n, []::BIGINT[] AS picked FROM (SELECT DISTINCT query_id FROM div) z
+  UNION ALL SELECT query_id, need, n + 1, list_append(picked, i) FROM (SELECT m.*, sims.i, round(CASE WHEN n = 0 THEN rel ELSE 0.65::DOUBLE * rel - 0.35::DOUBLE * list_max(list_transform(picked, lambda p: s[p])) END, 12) AS value
+    FROM m JOIN sims USING (query_id) WHERE n < need AND NOT list_contains(picked, sims.i) QUALIFY row_number() OVER (PARTITION BY m.query_id ORDER BY value DESC, sims.i) = 1)),
+picks AS (SELECT query_id, need, unnest(picked) AS i, generate_subscripts(picked, 1) AS p FROM (SELECT * FROM m QUALIFY n = max(n) OVER (PARTITION BY query_id))),
+fin AS MATERIALIZED (SELECT query_id, chunk_id, final_rank::INTEGER AS final_rank FROM sure UNION ALL SELECT query_id, chunk_id, (15 - need + p)::INTEGER FROM picks JOIN rest USING (query_id, i)),
+short_text AS {_compressed},
+shown AS (SELECT query_id, final_rank, fin.chunk_id, chunks.source, url, t.content, CASE WHEN chunks.source IN ('github_repo', 'github_readme') THEN 'Projects — ' || title ELSE section END AS label
+  FROM fin JOIN chunks USING (chunk_id) JOIN short_text t USING (query_id, chunk_id))
+"""
+
+
+@query(FINAL + "SELECT query_id, chunk_id, score, vector_score, bm25_score, div.source, project_id, final_rank, short_text.content FROM fin JOIN div USING (query_id, chunk_id) JOIN short_text USING (query_id, chunk_id)")
 def retrieve(spark, sf_dir):
     return retrieval.retrieve(chunks(spark, sf_dir), asked(spark, sf_dir))
 
@@ -130,14 +163,19 @@ def _final(spark, sf_dir) -> DataFrame:
     return retrieval.retrieve(c, asked(spark, sf_dir)).join(c.select("chunk_id", "section", "anchor", "url", "title"), "chunk_id")
 
 
-@query()
+@query(FINAL + """, f AS (SELECT *, lower(trim(label)) AS l, lower(regexp_replace(regexp_replace(split_part(url, '?', 1), '^https://www\\.', ''), '/+$', '')) AS u FROM shown),
+k AS (SELECT DISTINCT query_id, 0 AS r, []::VARCHAR[] AS us, []::VARCHAR[] AS ls, [{'label': '', 'url': ''}][1:0] AS kept FROM f
+  UNION ALL SELECT k.query_id, k.r + 1, CASE WHEN seen THEN us ELSE list_append(us, u) END, CASE WHEN seen THEN ls ELSE list_append(ls, l) END, CASE WHEN seen THEN kept ELSE list_append(kept, {'label': label, 'url': url}) END
+  FROM (SELECT k.*, f.u, f.l, f.label, f.url, list_contains(us, f.u) OR list_contains(ls, f.l) AS seen FROM k JOIN f ON f.query_id = k.query_id AND f.final_rank = k.r + 1) k)
+SELECT query_id, (n - 1)::INTEGER AS n, c.label AS label, c.url AS url FROM (SELECT query_id, unnest(kept) AS c, generate_subscripts(kept, 1) AS n FROM (SELECT * FROM k QUALIFY r = max(r) OVER (PARTITION BY query_id)))""")
 def retrieve_citations(spark, sf_dir):
     rows = _final(spark, sf_dir)
     label = tx.display_label(F.col("source"), F.col("anchor"), F.col("section"), F.col("title"))
     return citations.deduplicate(rows.withColumn("label", label)).select("query_id", F.posexplode("citations").alias("n", "c")).select("query_id", "n", "c.label", "c.url")
 
 
-@query()
+@query(FINAL + f"""SELECT query_id, CASE WHEN context IS NULL THEN '{citations.DECLINE.replace("'", "''")}' ELSE 'stub: ' || left('Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || q_text, 200) END AS answer
+FROM q LEFT JOIN (SELECT query_id, string_agg('[' || final_rank || '] Section: ' || label || ' | Source: ' || source || chr(10) || content, chr(10) || chr(10) ORDER BY final_rank) AS context FROM shown GROUP BY query_id) USING (query_id)""")
 def answers(spark, sf_dir):
     q = asked(spark, sf_dir)
     return citations.answer(q, citations.context(_final(spark, sf_dir)))
@@ -388,3 +426,82 @@ def transcripts(spark, sf_dir):
     return spark.createDataFrame(rows, "id int, j string").select("id", records.transcript(F.col("j")).alias("t"))
 
 
+
+
+@query("SELECT count(*) AS n FROM documents WHERE source <> 'src0'")
+def inactive_count(spark, sf_dir):
+    return index.inactive_count(table(spark, sf_dir, "documents"), "source", "src0")
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE role = 'user' AND (text IS NULL OR NOT length(text) BETWEEN 1 AND 60 OR NOT length(conv_id::VARCHAR) BETWEEN 1 AND 128)")
+def rejected_requests(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("session_id", F.col("conv_id").cast("string"))
+    return sessions.validated(c, "text", "session_id", most_text=60)[1].select("conv_id", "turn")
+
+
+@query("SELECT vec_id, len(embedding) AS n, true AS same FROM embeddings")
+def vector_literals(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    back = embedding.parse_vector(embedding.vector_literal(F.col("embedding"))).cast("array<float>")
+    return e.select("vec_id", F.size("embedding").cast("long").alias("n"), (back == F.col("embedding")).alias("same"))
+
+
+@query("SELECT doc_id, 64::BIGINT AS n, CASE WHEN len(regexp_extract_all(lower(text), '[a-z0-9]+')) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM documents")
+def embedded_texts(spark, sf_dir):
+    rows = embedding.embed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", make=lambda: embedding.hashing_model(64))
+    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
+    return rows.select("doc_id", F.size("embedding").cast("long").alias("n"), F.round(F.sqrt(square), 4).alias("norm"))
+
+
+@query("SELECT event_id, strftime(ts + INTERVAL 330 MINUTE, '%A, %d %B %Y, %I:%M %p IST') AS local_time, year(ts)::INTEGER AS y FROM events")
+def local_times(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", times.spoken_time(F.col("ts")).alias("local_time"), times.epoch_year(F.unix_seconds(F.to_timestamp_ltz(F.concat(F.col("ts").cast("string"), F.lit("+00:00"))))).alias("y"))
+
+
+@query("""SELECT conv_id, string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS history FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6) GROUP BY conv_id""")
+def session_history(spark, sf_dir):
+    return sessions.formatted_history(table(spark, sf_dir, "conversations"), "conv_id", "turn", 6)
+
+
+@query("""SELECT conv_id, turn, 'stub: ' || left('CURRENT_DATETIME: Monday, 01 January 2024, 05:30 AM IST' || chr(10) || chr(10) || 'MESSAGE: ' || text, 200) AS reply FROM conversations WHERE role = 'user' AND text IS NOT NULL""")
+def small_talk_replies(spark, sf_dir):
+    """What small talk gets, here for every message of a user."""
+    talk = table(spark, sf_dir, "conversations").where("role = 'user' and text is not null")
+    return citations.small_talk_reply(talk, times.spoken_time(F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))).select("conv_id", "turn", "reply")
+
+
+_clean = "html"
+for _tag in ("script", "style", "nav", "svg"):
+    _clean = f"regexp_replace({_clean}, '<{_tag}(?:\\s[^>]*)?>.*?</{_tag}\\s*>', ' ', 'gis')"
+
+
+def _text(x: str) -> str:
+    out = f"trim(regexp_replace(regexp_replace({x}, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&amp;", "&")):
+        out = f"replace({out}, '{name}', '{char}')"
+    return out
+
+
+
+@query(f"""SELECT page_id, (i - 1)::INTEGER AS n, {_text("x")} AS text, 'About' AS section FROM (SELECT page_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT page_id, regexp_extract_all({_clean}, '(?s)<h[1-4][^>]*>(.*?)</h[1-4]>', 1) AS l FROM pages)) WHERE {_text("x")} <> ''""")
+def page_headings(spark, sf_dir):
+    found = html.elements(table(spark, sf_dir, "pages")).where(F.col("tag").isin(*html.HEADINGS))
+    n = F.row_number().over(Window.partitionBy("page_id").orderBy("ord")) - 1
+    return found.select("page_id", n.alias("n"), F.regexp_replace("text", r"\s+", " ").alias("text"), F.coalesce(tx.anchor_label(F.col("anchor")), F.lit("About")).alias("section"))
+
+
+@query("""WITH l AS (SELECT page_id, unnest(h) AS href, generate_subscripts(h, 1) AS i, unnest(t) AS label FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a href="([^"]*)">[^<]*</a>', 1) AS h, regexp_extract_all(html, '(?i)<a href="[^"]*">([^<]*)</a>', 1) AS t FROM pages))
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY min(i)) AS n, href AS url, max_by(label, i) AS label FROM l GROUP BY page_id, href""")
+def links_by_address(spark, sf_dir):
+    h = F.col("html")
+    pair = F.arrays_zip(F.regexp_extract_all(h, F.lit('(?i)<a href="([^"]*)">[^<]*</a>'), F.lit(1)).alias("href"), F.regexp_extract_all(h, F.lit('(?i)<a href="[^"]*">([^<]*)</a>'), F.lit(1)).alias("text"))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(pair).alias("ord", "x")).select("page_id", "ord", "x.href", "x.text", F.lit(html.DEFAULT_ANCHOR).alias("anchor"))
+    return html.last_of_each(rows).select("page_id", F.col("n").cast("long").alias("n"), "url", "label")
+
+
+@query("""SELECT row_number() OVER (ORDER BY s, doc_id) - 1 AS ord, doc_id AS title, source FROM (SELECT doc_id, source, CASE source WHEN 'src0' THEN 0 WHEN 'src1' THEN 1 WHEN 'src2' THEN 2 WHEN 'src3' THEN 3 ELSE 4 END AS s FROM documents)""")
+def assembled_index(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("text").alias("content"), "source", F.lit(None).cast("string").alias("section"), F.lit(None).cast("string").alias("anchor"), F.lit(None).cast("string").alias("url"), F.col("doc_id").cast("string").alias("title"), F.col("doc_id").alias("ord"))
+    parts = [d.where(F.col("source") == f"src{i}") for i in range(4)] + [d.where(~F.col("source").isin("src0", "src1", "src2", "src3"))]
+    return assembly.assemble(parts).select("ord", F.col("title").cast("long").alias("title"), "source")

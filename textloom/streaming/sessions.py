@@ -74,3 +74,49 @@ def flush(state: DataFrame, prefix: str) -> tuple[DataFrame, int]:
     """What is left of (key, ...) without the keys of a prefix, and how many went."""
     gone = state.where(F.startswith("key", F.lit(prefix)))
     return state.where(~F.startswith("key", F.lit(prefix))), gone.count()
+
+
+def memory_stream(turns: DataFrame, key: str, ts: str, most: int = DEFAULT.history_messages, hours: int = DEFAULT.session_hours) -> DataFrame:
+    """(key, epoch, n, history) of a stream of (key, ts, role, text, epoch): what a session remembers after each batch of its turns.
+
+    The state is the last `most` messages in the order of ts. It expires `hours` after its last turn, and a
+    turn of another content epoch finds it empty, so a new index batch flushes every session at no cost.
+    """
+    kind = dict(turns.dtypes)[key]
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        epoch, last, held = state.get if state.exists else (None, None, [])
+        held = [tuple(x) for x in held]
+        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        for t, role, text, e in zip(rows["ts"], rows["role"], rows["text"], rows["epoch"], strict=True):
+            now = t.timestamp()
+            if e != epoch or (last is not None and now - last >= hours * 3600):
+                held = []
+            epoch, last, held = e, now, [*held, (role, text)][-most:]
+        state.update((epoch, last, held))
+        state.setTimeoutDuration(hours * 3_600_000)
+        yield pd.DataFrame({"key": [k[0]], "epoch": [epoch], "n": [len(held)], "history": ["\n".join(f"{r}: {x}" for r, x in held)]})
+
+    src = turns.select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("ts"), "role", "text", "epoch")
+    return src.groupBy("key").applyInPandasWithState(step, f"key {kind}, epoch string, n int, history string", "epoch string, last double, held array<struct<role:string,text:string>>", "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def refresh(source: DataFrame, publish, checkpoint: str) -> None:
+    """One periodic run: publish(batch, batch_id) sees what has come since the last run, once, and the call returns when all of it is done."""
+    source.writeStream.foreachBatch(lambda df, n: publish(df, str(n)) if not df.isEmpty() else None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def formatted_history(turns: DataFrame, key: str, order: str, n: int = DEFAULT.history_messages) -> DataFrame:
+    """(key, history): the last n messages of each session as "role: text" lines, oldest first."""
+    rows = last_messages(turns, key, order, n)
+    listed = F.array_sort(F.collect_list(F.struct(order, "role", "text")))
+    return rows.groupBy(key).agg(F.array_join(F.transform(listed, lambda x: F.concat(x["role"], F.lit(": "), F.coalesce(x["text"], F.lit("")))), "\n").alias("history"))
+
+
+def validated(requests: DataFrame, text: str, session: str, most_text: int = 1000, most_session: int = 128) -> tuple[DataFrame, DataFrame]:
+    """Requests whose text and session id have 1 to so many characters, and those that are rejected (nulls among them)."""
+    ok = F.coalesce(F.length(text).between(1, most_text) & F.length(session).between(1, most_session), F.lit(False))
+    return requests.where(ok), requests.where(~ok)
