@@ -355,6 +355,15 @@ def test_imatch(spark):
     assert imatch.fingerprint_edits(docs(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 5, 8, 11, 64])
+def test_imatch_places(spark, n):
+    edges = list(range(3, 3 + 10 * n, 10))
+    rows = spark.createDataFrame([(i,) for i in [None, -1, 0, 3, 4, 12, 13, 14, 55, 633, 700]], "doc_id long")
+    literal = F.array(*[F.lit(e).cast("long") for e in edges]) if edges else F.array().cast("array<bigint>")
+    got = rows.select("doc_id", imatch._place(literal, n, F.col("doc_id")).alias("part")).collect()
+    assert all(r["part"] == sum(r["doc_id"] is not None and e <= r["doc_id"] for e in edges) for r in got)
+
+
 def test_imatch_band_is_by_term(spark):
     """Two terms that share the low 20 bits of their hashes, each in one row only, are below the band."""
     low = {}

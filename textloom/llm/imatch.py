@@ -98,11 +98,12 @@ def in_band(t: np.ndarray, band: np.ndarray) -> np.ndarray:
 
 def _place(edges: Column, n: int, x: Column) -> Column:
     """How many of the n sorted edges are at most x, by halving; 0 for null."""
-    found = F.lit(0)
-    step = 1 << max(n.bit_length() - 1, 0)
+    def halved(step: int):
+        return lambda at: F.when((at + step <= n) & (F.get(edges, at + step - 1) <= x), at + step).otherwise(at)
+
+    found, step = F.lit(0), 1 << max(n.bit_length() - 1, 0)
     while n and step:
-        found = let(found, lambda at, step=step: F.when((at + step <= n) & (F.get(edges, at + step - 1) <= x), at + step).otherwise(at))
-        step >>= 1
+        found, step = let(found, halved(step)), step >> 1
     return found
 
 
