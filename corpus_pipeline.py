@@ -1,6 +1,10 @@
 """Documents to packed training sequences: each stage is one of the corpus operators.
 
 run() writes each stage's rows to the shared folder and reads them again as the next stage's documents.
+Any further columns of documents pass through all stages but the last, whatever their names. Null texts
+count as empty: they score the prior, have no lines, are near duplicates of each other (those with a null
+doc_id stay), hold no benchmark item and give no sequence. Repeated rows stay alike. Of an empty table
+nothing is left.
 """
 
 from __future__ import annotations
@@ -47,7 +51,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [("toxicity", reject_toxic), ("line dedup", delete_repeated_lines), ("simhash near-dedup", drop_near_duplicates), ("benchmark decontamination", decontaminate), ("packing", pack_sequences)]
 
-#: Training, components and repeated runs are beyond SQL; tests hold the stages against brute force.
+#: Training, components and repeated runs are beyond SQL; a test holds each stage against brute force on its own input.
 ORACLE_SQL = None
 
 
