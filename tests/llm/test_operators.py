@@ -380,3 +380,63 @@ def test_imatch_band_is_by_term(spark):
     assert len(imatch.band_of(docs(spark, rows).limit(0), 1e-4, 0.1)) == 0
     t = imatch.terms(f"w{a} w{b} common")
     assert imatch.in_band(t, imatch.terms("common")).sum() == 1 and not imatch.in_band(t, np.zeros(0, np.uint64)).any()
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Each stage against brute force on its own input; the documents have columns named like the operators' own."""
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(17)
+    passage = prose(rng, 60)
+    texts = {i: "\n".join(prose(rng, 15) + (" vile brute " if i % 5 == 0 else " ") + prose(rng, 15) for _ in range(3)) for i in range(120)}
+    item = prose(rng, 30)
+    texts |= {200: texts[1], 201: texts[1], 202: texts[2].replace(" ", "  ", 1) + " z", 203: passage + "\n" + prose(rng, 40), 204: passage + "\n" + prose(rng, 40), 205: prose(rng, 20) + " " + item + " " + prose(rng, 20), 206: None, 207: "", 208: " ".join(["long"] + [prose(rng, 5) for _ in range(4000)])}
+    rows = [(i, t, 1, 2, 3, 4, 5, len(t or "")) for i, t in texts.items()] + [(3, texts[3], 1, 2, 3, 4, 5, len(texts[3]))]
+    spark.createDataFrame(rows, "doc_id long, text string, dead int, all int, n_deleted int, n_lines int, _d int, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(120)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    d, scratch = str(tmp_path), Scratch(spark, "stages")
+    now = spark.read.parquet(f"{d}/documents.parquet")
+    columns = now.columns
+    pairs = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=lambda x: (x[0], x[1] or ""))
+    for k, (name, stage) in enumerate(pipeline.STAGES[:4]):
+        before = pairs(now)
+        now = scratch.save(stage(spark, now, d), f"s{k}")
+        assert now.columns == columns, name
+        after = pairs(now)
+        if name == "toxicity":
+            predicted = {r["doc_id"]: r["predicted"] for r in toxicity.classify(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")).collect()}
+            assert after == [x for x in before if not predicted[x[0]]] and 0 < len(after) < len(before)
+        elif name == "line dedup":
+            first, want = {}, []
+            distinct = list(dict.fromkeys(x for x in before if first.setdefault(x[1] or "", x[0]) == x[0]))
+            dead = brute_lines(distinct, 50)
+            for i, t in before:
+                lines = (t or "").split("\n")
+                copy = first[t or ""] != i and len((t or "").split()) >= 50
+                left = "" if copy else "\n".join(x for p, x in enumerate(lines) if p not in dead.get(i, ()))
+                if left == (t or "") or left.strip():
+                    want.append((i, left if t is not None or left else t))
+            assert [(i, t or "") for i, t in after] == [(i, t or "") for i, t in want] and {200, 201}.isdisjoint(i for i, _ in after)
+            assert all(r["n_chars"] == len(r["text"] or "") for r in now.collect())
+        elif name == "simhash near-dedup":
+            sets = {i: set(simhash.shingle_hashes(t or "", 5).tolist()) for i, t in before}
+            alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+            assert after == [x for x in before if not any(j < x[0] and alike(j, x[0]) for j in sets)] and 207 not in dict(after)
+        else:
+            assert after == [x for x in before if x[0] != 205] and 205 in dict(before)
+    packed = pipeline.STAGES[4][1](spark, now, d)
+    assert sum(r["n_tokens"] for r in packed.collect()) == sum(len((t or "").split()) for _, t in pairs(now))
+    assert pipeline.run(spark, d).count() == packed.count()
+
+
+def test_operators_on_empty_and_repeated_rows(spark):
+    """An empty table gives no rows; rows that repeat id and text give repeated results (op2: one)."""
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
+    twice = docs(spark, [(1, "one two three four five six. Released under the MIT License. a@b.cd")] * 2)
+    ops = {"license": licenses.scan_licenses, "pii": pii.find_personal_data, "toxicity": lambda x: toxicity.classify(x, labels), "secrets": secrets.find_secrets, "lines": linededup.dedup_lines, "simhash": simhash.simhash_components, "decontam": lambda x: decontam.contaminated(x, bench), "imatch": imatch.fingerprint_edits}
+    for name, op in ops.items():
+        assert op(twice.limit(0)).count() == 0, name
+        assert op(twice).count() == (1 if name == "license" else 2), name
+    assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
