@@ -315,6 +315,18 @@ def test_near_duplicates_at_the_threshold(spark):
     assert simhash.near_duplicates(docs(spark, rows[:1]).limit(0)).count() == 0
 
 
+def test_small_sets_at_the_threshold_all_link(spark):
+    """Pairs of four and five shingles at exactly 0.8: some of their fingerprints differ in over 22 bits."""
+    rows = [(2 * k + j, " ".join(f"w{k}x{i}" for i in range(8 + j))) for k in range(4000) for j in (0, 1)]
+    prints = [simhash.fingerprint(np.unique(simhash.shingle_hashes(t, 5))) for _, t in rows]
+    far = [2 * k for k in range(4000) if ((prints[2 * k] ^ prints[2 * k + 1]) & (1 << 64) - 1).bit_count() > 22]
+    got = {r["doc_id"]: r["first"] for r in simhash.near_duplicates(docs(spark, rows)).collect()}
+    keys = [set(simhash.band_keys(np.unique(simhash.shingle_hashes(t, 5))).tolist()) for _, t in rows]
+    met = {2 * k for k in range(4000) if keys[2 * k] & keys[2 * k + 1]}
+    assert far and met.issuperset(far)
+    assert {k for k in range(0, 8000, 2) if got[k + 1] == k} == met and len(met) >= 3990
+
+
 @pytest.mark.parametrize("block", [7, 1024])
 def test_outside_pairs_pass_over_no_link(spark, block):
     rng = random.Random(21)
@@ -322,14 +334,14 @@ def test_outside_pairs_pass_over_no_link(spark, block):
     for i in range(400):
         key, fp = i % 4, rng.getrandbits(64)
         fp = (fp & rng.getrandbits(64) & rng.getrandbits(64)) - (1 << 63)  # about eight bits set
-        rows.append((key, fp, 1000 + i, 1000 + i if key and rng.random() < 0.3 else 1000 + key))
-    crowd = spark.createDataFrame([r[:3] for r in rows], "key long, fp long, doc_id long")
+        rows.append((key, fp, 1000 + i, 1000 + i if key and rng.random() < 0.3 else 1000 + key, rng.random() < 0.1))
+    crowd = spark.createDataFrame([(*r[:3], r[4]) for r in rows], "key long, fp long, doc_id long, small boolean")
     roots = spark.createDataFrame([(r[2], r[3]) for r in rows if r[2] != r[3]], "node long, root long")
     scratch = Scratch(spark, "outside")
     label, rest = simhash.open_groups(crowd, roots, scratch)
     assert {r["key"] for r in rest.collect()} == {1, 2, 3}  # group 0 is one component
     got = [tuple(r) for r in simhash.outside_pairs(label, rest, 22, block).collect()]
-    want = {(a[2], b[2]) for a, b in itertools.combinations(rows, 2) if a[0] == b[0] and a[3] != b[3] and ((a[1] ^ b[1]) & (1 << 64) - 1).bit_count() <= 22}
+    want = {(a[2], b[2]) for a, b in itertools.combinations(rows, 2) if a[0] == b[0] and a[3] != b[3] and (a[4] or b[4] or ((a[1] ^ b[1]) & (1 << 64) - 1).bit_count() <= 22)}
     assert len(got) == len(set(got)) and set(got) == want and want
 
 
