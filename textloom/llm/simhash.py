@@ -266,43 +266,71 @@ def open_groups(crowd: DataFrame, roots: DataFrame, scratch: Scratch) -> tuple[D
     return label, scratch.save(rest, "open")
 
 
+def prefixes(docs: DataFrame, words: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """(doc_id, prefix): of each text's n distinct shingles the n - ceil(similarity * n) + 1 that fewest of these texts have.
+
+    Two sets with a Jaccard similarity of `similarity` share at least that part of either, so they can't
+    avoid each other in these prefixes, whatever one order of the shingles is used for all texts; by
+    rarity, what only one text has fills most of its prefix. A text without shingles has the one element 0.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc_id, t in zip(b.column(0), b.column(1), strict=True):
+                s = np.unique(shingle_hashes(t.as_py(), words)).view(np.int64)
+                s = s if len(s) else np.zeros(1, np.int64)
+                for i in range(0, len(s), CHUNK):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s[i : i + CHUNK]), doc_id.as_py())), pa.array(s[i : i + CHUNK])], ["doc_id", "s"])
+
+    rows = scratch.save(docs.mapInArrow(run, "doc_id long, s long"), "shingles")
+    ranked = rows.join(rows.groupBy("s").agg(F.count("*").alias("df")), "s")
+    taken = (F.size("x") - F.ceil(similarity * F.size("x") - 1e-9) + 1).cast("int")
+    own = ranked.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("x"))
+    return scratch.save(own.select("doc_id", F.slice("x.s", F.lit(1), taken).alias("prefix")), "prefixes")
+
+
 def outside_pairs(label: DataFrame, rest: DataFrame, bits: int, block: int = 1024) -> DataFrame:
-    """(a, b) of rows with equal keys and different roots that the pivot table and the distance don't discard;
-    pairs with a small set all stay.
+    """(a, b) of rows (key, fp, doc_id, small, root, prefix) with equal keys, different roots and a common element of
+    their prefixes that the pivot table and the distance don't discard; pairs with a small set need only the element.
 
     Only a group's rows outside its largest component are held against all its rows, in cells of about
-    `block` by `block` rows, so no task holds a group and no pair of a group is passed over.
+    `block` by `block` rows, so no task holds a group and no pair of a group is passed over. Inside a cell
+    a row meets others by their prefixes.
     """
     table = np.array(pivots(), np.int64).view(np.uint64)
 
     def cell(t: pa.Table) -> pa.Table:
         side, fp, ids, root, small = (t.column(c).to_numpy() for c in ("side", "fp", "doc_id", "root", "small"))
+        prefix = t.column("prefix").combine_chunks()
+        sizes, elements = prefix.value_lengths().to_numpy(), prefix.flatten().to_numpy()
+        ends = np.cumsum(sizes)
         u = fp.view(np.uint64)
-        coords = [np.bitwise_count(u ^ p).astype(np.int16) for p in table]
-        outer, inner = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        a, b = [], []
-        for i in range(0, len(outer), 256):
-            x, y = np.nonzero(root[outer[i : i + 256], None] != root[None, inner])
-            x, y = outer[i + x], inner[y]
-            free = small[x] | small[y]
-            kept = x[free], y[free]
-            x, y = x[~free], y[~free]
-            for c in coords:  # one coordinate at a time
-                near = np.abs(c[x] - c[y]) <= bits
-                x, y = x[near], y[near]
-            near = np.bitwise_count(u[x] ^ u[y]) <= bits
-            x, y = (ids[np.concatenate([k, v[near]])] for k, v in zip(kept, (x, y), strict=True))
-            a.append(np.minimum(x, y))
-            b.append(np.maximum(x, y))
-        none = [np.zeros(0, np.int64)]
-        return pa.table({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
+        coords = np.stack([np.bitwise_count(u ^ p).astype(np.int16) for p in table])
+        holder = np.repeat(np.arange(len(ids)), sizes)
+        held = np.flatnonzero(side[holder] == 1)
+        held = held[np.argsort(elements[held], kind="stable")]
+        listed, holder = elements[held], holder[held]
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for x in np.flatnonzero(side == 0):
+            own = elements[ends[x] - sizes[x] : ends[x]]
+            spans = zip(np.searchsorted(listed, own, "left").tolist(), np.searchsorted(listed, own, "right").tolist(), strict=True)
+            met = np.zeros(len(ids), bool)
+            for i, j in spans:
+                met[holder[i:j]] = True
+            y = np.flatnonzero(met & (root != root[x]))
+            near = (np.abs(coords[:, y] - coords[:, x, None]) <= bits).all(0) & (np.bitwise_count(u[y] ^ u[x]) <= bits)
+            y = ids[y[near | small[y] | small[x]]]
+            a.append(np.minimum(y, ids[x]))
+            b.append(np.maximum(y, ids[x]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     rows = label.join(few(rest), "key")
     cells = lambda n: F.ceil(F.col(n) / F.lit(block))
     mine = lambda n: F.pmod(F.xxhash64("doc_id"), cells(n))
     all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), cells(n) - 1))
-    outer = rows.where("root != main").select("key", mine("out").alias("i"), all_of("n").alias("j"), F.lit(0).alias("side"), "fp", "doc_id", "root", "small")
-    inner = rows.select("key", all_of("out").alias("i"), mine("n").alias("j"), F.lit(1).alias("side"), "fp", "doc_id", "root", "small")
+    kept = ["fp", "doc_id", "root", "small", "prefix"]
+    outer = rows.where("root != main").select("key", mine("out").alias("i"), all_of("n").alias("j"), F.lit(0).alias("side"), *kept)
+    inner = rows.select("key", all_of("out").alias("i"), mine("n").alias("j"), F.lit(1).alias("side"), *kept)
     return outer.union(inner).groupBy("key", "i", "j").applyInArrow(cell, "a long, b long").distinct()
 
 
@@ -316,7 +344,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, bi
     groups are sorted by fingerprint, in another order for each band, and dealt out in ranges; each
     text is tested with the next `hot_reach` and with two hubs, which makes most groups one component.
     In those that are not, every text outside the largest component is then held against all texts of
-    the group. The pivot table and the distance discard pairs of sets of over 16 shingles (at 0.8 those differ
+    the group with which it shares one of its rarest shingles, as any text at 0.8 does. The pivot table and the distance discard pairs of sets of over 16 shingles (at 0.8 those differ
     in over 22 bits less than once in 10,000 times), and the shingle sets themselves decide. Texts without words are alike. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "neardup")
@@ -335,7 +363,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, bi
     roots = components(_linked(near.distinct(), body, words, similarity, scratch, "near"), scratch)
     label, rest = open_groups(crowd, roots, scratch)
     if rest.take(1):
-        more = _linked(outside_pairs(label, rest, bits), body, words, similarity, scratch, "outside")
+        label = label.join(few(rest.select("key")), "key")
+        ends = few(scratch.save(label.select("doc_id").distinct(), "members"))
+        rare = prefixes(body.join(ends, "doc_id").dropDuplicates(["doc_id"]), words, similarity, scratch)
+        more = _linked(outside_pairs(label.join(rare, "doc_id"), rest, bits), body, words, similarity, scratch, "outside")
         roots = components(roots.toDF("a", "b").union(more), scratch, "joined")
     groups = rows.groupBy("h", "n").agg(F.min("doc_id").alias("rep"))
     named = groups.join(roots, F.col("rep") == F.col("node"), "left").select("h", "n", F.coalesce("root", "rep").alias("first"))
