@@ -333,30 +333,43 @@ def test_prefixes_meet_at_the_threshold(spark):
     for k in range(30):
         base = prose(rng, rng.choice([9, 40, 150])).split()
         rows += [(10 * k + j + 10, " ".join(w if rng.random() > 0.012 * j else f"z{rng.randint(0, 9)}" for w in base)) for j in range(6)]
-    got = {r["doc_id"]: set(r["prefix"]) for r in simhash.prefixes(docs(spark, rows).select("doc_id", "text"), 5, 0.8, Scratch(spark, "prefix")).collect()}
+    got = {r["doc_id"]: set(r["s"][: simhash.prefix_size(len(r["s"]), 0.8)]) for r in simhash.rare_first(docs(spark, rows).select("doc_id", "text"), 5, Scratch(spark, "prefix")).collect()}
     sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in rows}
     assert got[0] == {0} and len(got[1]) == 1 and len(got) == len(rows)
     alike = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     assert len(alike) > 50 and all(got[a] & got[b] for a, b in alike)
 
 
-@pytest.mark.parametrize("block", [7, 1024])
-def test_outside_pairs_pass_over_no_link(spark, block):
+def joined(links):
+    """node -> smallest node of its component"""
+    root = {}
+    find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {x: find(x) for x in list(root)}
+
+
+@pytest.mark.parametrize("block,room", [(7, 1 << 21), (1024, 60), (1024, 1 << 21)])
+def test_outside_links_pass_over_no_link(spark, block, room):
     rng = random.Random(21)
     rows = []
     for i in range(400):
         key, fp = i % 4, rng.getrandbits(64)
         fp = (fp & rng.getrandbits(64) & rng.getrandbits(64)) - (1 << 63)  # about eight bits set
-        rows.append((key, fp, 1000 + i, 1000 + i if key and rng.random() < 0.3 else 1000 + key, rng.random() < 0.1, rng.sample(range(12), rng.choice([1, 3, 6]))))
+        drawn = sorted(rng.sample(range(9), rng.choice([1, 4, 5, 6, 8])))
+        rows.append((key, fp, 1000 + i, 1000 + i if key and rng.random() < 0.3 else 1000 + key, rng.random() < 0.1, drawn))
     crowd = spark.createDataFrame([(*r[:3], r[4]) for r in rows], "key long, fp long, doc_id long, small boolean")
     roots = spark.createDataFrame([(r[2], r[3]) for r in rows if r[2] != r[3]], "node long, root long")
-    scratch = Scratch(spark, "outside")
-    rare = spark.createDataFrame([(r[2], r[5]) for r in rows], "doc_id long, prefix array<long>")
-    label, rest = simhash.open_groups(crowd, roots, scratch)
+    sets = spark.createDataFrame([(r[2], r[5]) for r in rows], "doc_id long, s array<long>")
+    label, rest = simhash.open_groups(crowd, roots, Scratch(spark, "outside"))
     assert {r["key"] for r in rest.collect()} == {1, 2, 3}  # group 0 is one component
-    got = [tuple(r) for r in simhash.outside_pairs(label.join(rare, "doc_id"), rest, 22, block).collect()]
-    want = {(a[2], b[2]) for a, b in itertools.combinations(rows, 2) if a[0] == b[0] and a[3] != b[3] and set(a[5]) & set(b[5]) and (a[4] or b[4] or ((a[1] ^ b[1]) & (1 << 64) - 1).bit_count() <= 22)}
-    assert len(got) == len(set(got)) and set(got) == want and want
+    got = [tuple(r) for r in simhash.outside_links(label.join(sets, "doc_id"), rest, 0.8, 22, block, room).collect()]
+    alike = lambda a, b: len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b))
+    near = lambda a, b: a[4] or b[4] or ((a[1] ^ b[1]) & (1 << 64) - 1).bit_count() <= 22
+    want = {(a[2], b[2]) for a, b in itertools.combinations(rows, 2) if a[0] == b[0] and a[3] != b[3] and alike(a[5], b[5]) and near(a, b)}
+    given = [(r[2], r[3]) for r in rows]
+    assert got and set(got) <= want and joined(given + got) == joined(given + sorted(want))
 
 
 def test_decontamination(spark):

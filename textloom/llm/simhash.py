@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -266,13 +267,13 @@ def open_groups(crowd: DataFrame, roots: DataFrame, scratch: Scratch) -> tuple[D
     return label, scratch.save(rest, "open")
 
 
-def prefixes(docs: DataFrame, words: int, similarity: float, scratch: Scratch) -> DataFrame:
-    """(doc_id, prefix): of each text's n distinct shingles the n - ceil(similarity * n) + 1 that fewest of these texts have.
+def prefix_size(n: int, similarity: float) -> int:
+    """Two sets with this Jaccard similarity have a common element among so many first ones of n, in any one order for both."""
+    return n - ceil(similarity * n - 1e-9) + 1
 
-    Two sets with a Jaccard similarity of `similarity` share at least that part of either, so they can't
-    avoid each other in these prefixes, whatever one order of the shingles is used for all texts; by
-    rarity, what only one text has fills most of its prefix. A text without shingles has the one element 0.
-    """
+
+def rare_first(docs: DataFrame, words: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, s): the set of each text's shingles, those first that fewest of these texts have. A text without shingles has the one element 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -284,53 +285,61 @@ def prefixes(docs: DataFrame, words: int, similarity: float, scratch: Scratch) -
 
     rows = scratch.save(docs.mapInArrow(run, "doc_id long, s long"), "shingles")
     ranked = rows.join(rows.groupBy("s").agg(F.count("*").alias("df")), "s")
-    taken = (F.size("x") - F.ceil(similarity * F.size("x") - 1e-9) + 1).cast("int")
     own = ranked.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("x"))
-    return scratch.save(own.select("doc_id", F.slice("x.s", F.lit(1), taken).alias("prefix")), "prefixes")
+    return scratch.save(own.select("doc_id", F.col("x.s").alias("s")), "rare_first")
 
 
-def outside_pairs(label: DataFrame, rest: DataFrame, bits: int, block: int = 1024) -> DataFrame:
-    """(a, b) of rows (key, fp, doc_id, small, root, prefix) with equal keys, different roots and a common element of
-    their prefixes that the pivot table and the distance don't discard; pairs with a small set need only the element.
+def outside_links(label: DataFrame, rest: DataFrame, similarity: float, bits: int, block: int = 1024, room: int = 1 << 21) -> DataFrame:
+    """(a, b) of rows (key, fp, doc_id, small, root, s) with equal keys, different roots and similar sets s: enough of
+    them to join all that are linked.
 
-    Only a group's rows outside its largest component are held against all its rows, in cells of about
-    `block` by `block` rows, so no task holds a group and no pair of a group is passed over. Inside a cell
-    a row meets others by their prefixes.
+    Only a group's rows outside its largest component are held against all its rows, in cells of at most about
+    `block` by `block` rows and `room` elements a side, so no task holds a group and no pair of a group is passed
+    over. Inside a cell rows meet by the first elements of their sets, the pivot table and the distance discard
+    pairs (none with a small set), and the sets decide unless earlier links of the cell have joined the two.
     """
     table = np.array(pivots(), np.int64).view(np.uint64)
 
     def cell(t: pa.Table) -> pa.Table:
         side, fp, ids, root, small = (t.column(c).to_numpy() for c in ("side", "fp", "doc_id", "root", "small"))
-        prefix = t.column("prefix").combine_chunks()
-        sizes, elements = prefix.value_lengths().to_numpy(), prefix.flatten().to_numpy()
-        ends = np.cumsum(sizes)
-        u = fp.view(np.uint64)
+        lists = t.column("s").combine_chunks()
+        sizes, elements = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
+        starts = np.cumsum(sizes) - sizes
+        heads = [elements[i : i + prefix_size(n, similarity)] for i, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+        sets = [np.sort(elements[i : i + n]) for i, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+        u, root = fp.view(np.uint64), root.copy()
         coords = np.stack([np.bitwise_count(u ^ p).astype(np.int16) for p in table])
-        holder = np.repeat(np.arange(len(ids)), sizes)
-        held = np.flatnonzero(side[holder] == 1)
-        held = held[np.argsort(elements[held], kind="stable")]
-        listed, holder = elements[held], holder[held]
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        inner = np.flatnonzero(side == 1)
+        listed, holder = np.concatenate([heads[y] for y in inner] or [elements[:0]]), np.repeat(inner, [len(heads[y]) for y in inner])
+        order = np.argsort(listed, kind="stable")
+        listed, holder = listed[order], holder[order]
+        a, b = [], []
         for x in np.flatnonzero(side == 0):
-            own = elements[ends[x] - sizes[x] : ends[x]]
-            spans = zip(np.searchsorted(listed, own, "left").tolist(), np.searchsorted(listed, own, "right").tolist(), strict=True)
             met = np.zeros(len(ids), bool)
-            for i, j in spans:
+            for i, j in zip(np.searchsorted(listed, heads[x], "left").tolist(), np.searchsorted(listed, heads[x], "right").tolist(), strict=True):
                 met[holder[i:j]] = True
             y = np.flatnonzero(met & (root != root[x]))
             near = (np.abs(coords[:, y] - coords[:, x, None]) <= bits).all(0) & (np.bitwise_count(u[y] ^ u[x]) <= bits)
-            y = ids[y[near | small[y] | small[x]]]
-            a.append(np.minimum(y, ids[x]))
-            b.append(np.maximum(y, ids[x]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+            for z in y[near | small[y] | small[x]]:
+                if root[z] != root[x]:
+                    both = len(np.intersect1d(sets[x], sets[z], assume_unique=True))
+                    if both >= similarity * (len(sets[x]) + len(sets[z]) - both):
+                        root[root == root[z]] = root[x]
+                        a.append(min(ids[x], ids[z]))
+                        b.append(max(ids[x], ids[z]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     rows = label.join(few(rest), "key")
-    cells = lambda n: F.ceil(F.col(n) / F.lit(block))
-    mine = lambda n: F.pmod(F.xxhash64("doc_id"), cells(n))
-    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), cells(n) - 1))
-    kept = ["fp", "doc_id", "root", "small", "prefix"]
-    outer = rows.where("root != main").select("key", mine("out").alias("i"), all_of("n").alias("j"), F.lit(0).alias("side"), *kept)
-    inner = rows.select("key", all_of("out").alias("i"), mine("n").alias("j"), F.lit(1).alias("side"), *kept)
+    out = F.col("root") != F.col("main")
+    parts = lambda n, size: F.greatest(F.ceil(n / F.lit(block)), F.ceil(size / F.lit(room)))
+    size = F.sum(F.size("s"))
+    cells = rows.groupBy("key").agg(parts(F.count("*"), size).alias("nj"), parts(F.count_if(out), F.sum(F.when(out, F.size("s")).otherwise(0))).alias("ni"))
+    rows = rows.join(few(cells), "key")
+    mine = lambda n: F.pmod(F.xxhash64("doc_id"), n)
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    kept = ["fp", "doc_id", "root", "small", "s"]
+    outer = rows.where(out).select("key", mine("ni").alias("i"), all_of("nj").alias("j"), F.lit(0).alias("side"), *kept)
+    inner = rows.select("key", all_of("ni").alias("i"), mine("nj").alias("j"), F.lit(1).alias("side"), *kept)
     return outer.union(inner).groupBy("key", "i", "j").applyInArrow(cell, "a long, b long").distinct()
 
 
@@ -365,8 +374,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, bi
     if rest.take(1):
         label = label.join(few(rest.select("key")), "key")
         ends = few(scratch.save(label.select("doc_id").distinct(), "members"))
-        rare = prefixes(body.join(ends, "doc_id").dropDuplicates(["doc_id"]), words, similarity, scratch)
-        more = _linked(outside_pairs(label.join(rare, "doc_id"), rest, bits), body, words, similarity, scratch, "outside")
+        sets = rare_first(body.join(ends, "doc_id").dropDuplicates(["doc_id"]), words, scratch)
+        members = scratch.save(label.join(sets, "doc_id"), "member_sets")
+        more = scratch.save(outside_links(members, rest, similarity, bits), "outside")
         roots = components(roots.toDF("a", "b").union(more), scratch, "joined")
     groups = rows.groupBy("h", "n").agg(F.min("doc_id").alias("rep"))
     named = groups.join(roots, F.col("rep") == F.col("node"), "left").select("h", "n", F.coalesce("root", "rep").alias("first"))
