@@ -333,9 +333,11 @@ def test_prefixes_meet_at_the_threshold(spark):
     for k in range(30):
         base = prose(rng, rng.choice([9, 40, 150])).split()
         rows += [(10 * k + j + 10, " ".join(w if rng.random() > 0.012 * j else f"z{rng.randint(0, 9)}" for w in base)) for j in range(6)]
-    got = {r["doc_id"]: set(r["s"][: simhash.prefix_size(len(r["s"]), 0.8)]) for r in simhash.rare_first(docs(spark, rows).select("doc_id", "text"), 5, Scratch(spark, "prefix")).collect()}
+    lists = {r["doc_id"]: r["s"] for r in simhash.shingle_lists(docs(spark, rows).select("doc_id", "text"), 5).collect()}
+    ranks = simhash.rare_first(np.concatenate([np.array(s) for s in lists.values()]), np.array([len(s) for s in lists.values()]))
+    got = {i: set(r[: simhash.prefix_size(len(r), 0.8)].tolist()) for i, r in zip(lists, ranks, strict=True)}
     sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in rows}
-    assert got[0] == {0} and len(got[1]) == 1 and len(got) == len(rows)
+    assert lists[0] == [0] and len(got[0]) == len(got[1]) == 1 and len(got) == len(rows)
     alike = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     assert len(alike) > 50 and all(got[a] & got[b] for a, b in alike)
 

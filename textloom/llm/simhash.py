@@ -272,21 +272,25 @@ def prefix_size(n: int, similarity: float) -> int:
     return n - ceil(similarity * n - 1e-9) + 1
 
 
-def rare_first(docs: DataFrame, words: int, scratch: Scratch) -> DataFrame:
-    """(doc_id, s): the set of each text's shingles, those first that fewest of these texts have. A text without shingles has the one element 0."""
+def shingle_lists(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, s): the set of each text's shingles. A text without shingles has the one element 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for doc_id, t in zip(b.column(0), b.column(1), strict=True):
                 s = np.unique(shingle_hashes(t.as_py(), words)).view(np.int64)
                 s = s if len(s) else np.zeros(1, np.int64)
-                for i in range(0, len(s), CHUNK):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s[i : i + CHUNK]), doc_id.as_py())), pa.array(s[i : i + CHUNK])], ["doc_id", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(s)], pa.int32()), pa.array(s))], ["doc_id", "s"])
 
-    rows = scratch.save(docs.mapInArrow(run, "doc_id long, s long"), "shingles")
-    ranked = rows.join(rows.groupBy("s").agg(F.count("*").alias("df")), "s")
-    own = ranked.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("x"))
-    return scratch.save(own.select("doc_id", F.col("x.s").alias("s")), "rare_first")
+    return docs.mapInArrow(run, "doc_id long, s array<long>")
+
+
+def rare_first(elements: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Sets of these sizes, which lie one after another, as rising ranks of their elements: 0 is that which fewest of the sets have."""
+    values, at, df = np.unique(elements, return_inverse=True, return_counts=True)
+    rank = np.empty(len(values), np.int64)
+    rank[np.argsort(df, kind="stable")] = np.arange(len(values))
+    return [np.sort(x) for x in np.split(rank[at], np.cumsum(sizes)[:-1])]
 
 
 def outside_links(label: DataFrame, rest: DataFrame, similarity: float, bits: int, block: int = 1024, room: int = 1 << 21) -> DataFrame:
@@ -295,7 +299,7 @@ def outside_links(label: DataFrame, rest: DataFrame, similarity: float, bits: in
 
     Only a group's rows outside its largest component are held against all its rows, in cells of at most about
     `block` by `block` rows and `room` elements a side, so no task holds a group and no pair of a group is passed
-    over. Inside a cell rows meet by the first elements of their sets, the pivot table and the distance discard
+    over. Inside a cell rows meet by the elements of their sets that are rarest in it, the pivot table and the distance discard
     pairs (none with a small set), and the sets decide unless earlier links of the cell have joined the two.
     """
     table = np.array(pivots(), np.int64).view(np.uint64)
@@ -303,14 +307,12 @@ def outside_links(label: DataFrame, rest: DataFrame, similarity: float, bits: in
     def cell(t: pa.Table) -> pa.Table:
         side, fp, ids, root, small = (t.column(c).to_numpy() for c in ("side", "fp", "doc_id", "root", "small"))
         lists = t.column("s").combine_chunks()
-        sizes, elements = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
-        starts = np.cumsum(sizes) - sizes
-        heads = [elements[i : i + prefix_size(n, similarity)] for i, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
-        sets = [np.sort(elements[i : i + n]) for i, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+        sets = rare_first(lists.flatten().to_numpy(), lists.value_lengths().to_numpy())
+        heads = [s[: prefix_size(len(s), similarity)] for s in sets]
         u, root = fp.view(np.uint64), root.copy()
         coords = np.stack([np.bitwise_count(u ^ p).astype(np.int16) for p in table])
         inner = np.flatnonzero(side == 1)
-        listed, holder = np.concatenate([heads[y] for y in inner] or [elements[:0]]), np.repeat(inner, [len(heads[y]) for y in inner])
+        listed, holder = np.concatenate([heads[y] for y in inner] or [np.zeros(0, np.int64)]), np.repeat(inner, [len(heads[y]) for y in inner])
         order = np.argsort(listed, kind="stable")
         listed, holder = listed[order], holder[order]
         a, b = [], []
@@ -353,8 +355,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, bi
     groups are sorted by fingerprint, in another order for each band, and dealt out in ranges; each
     text is tested with the next `hot_reach` and with two hubs, which makes most groups one component.
     In those that are not, every text outside the largest component is then held against all texts of
-    the group with which it shares one of its rarest shingles, as any text at 0.8 does. The pivot table and the distance discard pairs of sets of over 16 shingles (at 0.8 those differ
-    in over 22 bits less than once in 10,000 times), and the shingle sets themselves decide. Texts without words are alike. An empty table gives an empty result.
+    the group with which it shares one of its rarest shingles, as any text at 0.8 does. The pivot table
+    and the distance discard pairs of sets of over 16 shingles (at 0.8 those differ in over 22 bits less
+    than once in 10,000 times), and the shingle sets themselves decide. Texts without words are alike. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "neardup")
     body = texts(docs).where("doc_id is not null")
@@ -374,7 +377,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, bi
     if rest.take(1):
         label = label.join(few(rest.select("key")), "key")
         ends = few(scratch.save(label.select("doc_id").distinct(), "members"))
-        sets = rare_first(body.join(ends, "doc_id").dropDuplicates(["doc_id"]), words, scratch)
+        sets = shingle_lists(body.join(ends, "doc_id").dropDuplicates(["doc_id"]), words)
         members = scratch.save(label.join(sets, "doc_id"), "member_sets")
         more = scratch.save(outside_links(members, rest, similarity, bits), "outside")
         roots = components(roots.toDF("a", "b").union(more), scratch, "joined")
