@@ -286,6 +286,28 @@ def test_simhash(spark, hot):
     assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["fingerprint"], r["component_id"]) for r in got) == want
 
 
+@pytest.mark.parametrize("hot", [2000, 3])
+def test_simhash_keys_are_not_broadcast(spark, hot):
+    """Every fingerprint has 15 keys with its pivot table: at 0.6 GB they are too many for the driver."""
+    rng = random.Random(15)
+    base = [rng.getrandbits(63) for _ in range(40)]
+    fps = sorted({b ^ sum({1 << rng.randrange(63) for _ in range(rng.randint(0, 3))}) for b in base for _ in range(8)})
+    scratch = Scratch(spark, "plan")
+    found = simhash.links(scratch.save(spark.createDataFrame([(v,) for v in fps], "fp long"), "fps"), scratch, hot=hot)
+
+    def roots(pairs):
+        root = dict(zip(fps, fps, strict=True))
+        for _ in fps:
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    near = [(a, b) for a, b in itertools.combinations(fps, 2) if (a ^ b).bit_count() <= 4]
+    assert near and roots([(r["a"], r["b"]) for r in found.collect()]) == roots(near)
+    joins = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x and "bit_count" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins)
+
+
 def test_near_duplicates(spark):
     rng = random.Random(8)
     base = [prose(rng, 300) for _ in range(5)]

@@ -148,7 +148,8 @@ def links(fps: DataFrame, scratch: Scratch, bits: int = 4, hot: int = 2000, grou
         lowest = rest.bitwiseAND(-rest)
         first, rest = first + lowest, rest - lowest
     mine = F.get(F.array(*[F.lit(sum(1 << g for g in own)) for own in chosen]), F.col("a.n"))
-    a, b = cool.alias("a"), cool.alias("b")
+    # Spark takes the exploded keys for as small as the fingerprints and would broadcast them through the driver
+    a, b = cool.alias("a"), cool.hint("merge").alias("b")
     met = (F.col("a.n") == F.col("b.n")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & within("a", "b", bits)
     met = met if some_hot else met & (first == mine)
     out = a.join(b, met).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
