@@ -4,6 +4,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from textloom import queries
 from textloom.functions import times
 from textloom.operators import embedding, retrieval, stemming
 from textloom.plans import index
@@ -117,3 +118,18 @@ def test_content_hash_by_levels(spark):
     other = rows.withColumn("content", F.when(F.col("ord") == 77, "x").otherwise(F.col("content")))
     assert index.content_hash(other, group=4).first()["content_hash"] != deep["content_hash"]
     assert index.content_hash(rows.limit(0)).first()["n"] == 0
+
+
+def test_assembled_order_is_whole_in_many_partitions(spark, tmp_path):
+    n = 40000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 20).alias("text"), F.when(F.col("id") % 7 != 6, F.concat(F.lit("src"), F.col("id") % 7)).alias("source"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        got = [(r["ord"], r["title"]) for r in queries.assembled_index(spark, str(tmp_path)).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(got) == list(enumerate(sorted(range(n), key=lambda i: (min(i % 7, 4), i))))

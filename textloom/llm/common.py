@@ -1,14 +1,12 @@
-"""What the corpus operators share: reading columns, shared scratch tables, array helpers."""
+"""What the corpus operators share: reading columns, array helpers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.text import let
+from textloom.scratch import Scratch, shared_dir  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,32 +18,6 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only a local master may fall back to the temp folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"file://{tempfile.gettempdir()}/textloom-scratch"
-
-
-class Scratch:
-    """Tables written to the shared folder: they cut lineage and outlive lost executors."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-    def save(self, df: DataFrame, step: str) -> DataFrame:
-        path = f"{self.root}/{step}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, step: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{step}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     """A written table of narrow rows, marked for broadcast if it has at most `most` of them."""
     return F.broadcast(df) if df.count() <= most else df

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from textloom.functions.text import VIDEO_ID, first_group, free_text_label, strip
 from textloom.operators.chunking import paragraphs, recursive_split, sections
+from textloom.scratch import Scratch
 from textloom.sources.records import CHUNK, transcript
 
 COLUMNS = ["content", "source", "section", "anchor", "url", "title"]
@@ -126,14 +127,16 @@ def profile_link(links: DataFrame, content: Column, title: str) -> DataFrame:
 def assemble(sources: list[DataFrame], order: str = "ord") -> DataFrame:
     """(ord, chunk columns): the sources one after the other, each in its own order, numbered through.
 
-    Sources are numbered by range partitions and their offsets, so no task sees them all.
+    Each source is read once: its rows are sorted into range partitions and written with their partition and place,
+    so a row's offset and place come from the same partitions, and no task sees them all. A null order comes last.
     """
     tagged = [df.select(F.lit(i).alias("s"), (F.col(order) if order in df.columns else F.monotonically_increasing_id()).cast("long").alias("k"), *COLUMNS) for i, df in enumerate(sources)]
     rows = tagged[0]
     for df in tagged[1:]:
         rows = rows.unionByName(df)
-    keyed = rows.repartitionByRange("s", "k", "content").sortWithinPartitions("s", "k", "content").withColumn("part", F.spark_partition_id())
-    sizes = keyed.groupBy("part").agg(F.count("*").alias("n"))
+    keys = ["s", F.asc_nulls_last("k"), "content"]
+    keyed = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id())  # the partition in the upper bits, the place in the lower 33
+    kept = Scratch(rows.sparkSession, "assembly").save(keyed.select("at", *COLUMNS), "sorted").withColumn("part", F.shiftright("at", 33))
+    sizes = kept.groupBy("part").agg(F.count("*").alias("n"))
     before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    place = F.row_number().over(Window.partitionBy("part").orderBy("s", "k", "content")) - 1
-    return keyed.withColumn("place", place).join(F.broadcast(before), "part").select((F.col("before") + F.col("place")).alias("ord"), *COLUMNS)
+    return kept.join(F.broadcast(before), "part").select((F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("ord"), *COLUMNS)
