@@ -133,3 +133,11 @@ def test_assembled_order_is_whole_in_many_partitions(spark, tmp_path):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert sorted(got) == list(enumerate(sorted(range(n), key=lambda i: (min(i % 7, 4), i))))
+
+
+def test_headings_keep_cut_references_and_count_blanks(spark, tmp_path):
+    rows = [(1, "<article><h1>a&amp;&amp</h1></article>"), (2, "<h1>b&lt;&#39;&#x27;&quot;&gt; &am</h1><h2> </h2><h3>&amp;lt; &nbsp; &copy &#38; &</h3>"), (3, "<a href='?a=1&lt=2'>x</a>"), (4, None)]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = [(r["page_id"], r["n"], r["text"]) for r in queries.page_headings(spark, str(tmp_path)).orderBy("page_id", "n").collect()]
+    assert got == [(1, 0, "a&&amp"), (2, 0, "b<''\"> &am"), (2, 2, "&lt; &nbsp; &copy &#38; &")]
+    assert html.elements(spark.createDataFrame(rows[:1], "page_id long, html string")).first()["text"] == "a&&"

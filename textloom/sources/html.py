@@ -5,6 +5,7 @@ A page is parsed once, where it is read; what follows are DataFrame rules over i
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -72,7 +73,7 @@ class Walk(HTMLParser):
                 if e:
                     e["texts"].append(text)
 
-    def elements(self) -> list[tuple]:
+    def elements(self, blanks: bool = False) -> list[tuple]:
         rows = []
         for e in self.out:
             text = " ".join(e["texts"])
@@ -80,23 +81,29 @@ class Walk(HTMLParser):
                 part = lambda kind, e=e: [" ".join(x["texts"]) for x in self.out if x["parent"] is e and x["tag"] == kind]
                 tags = part("tag")
                 text = f"{(part('category') or [''])[0]}: {', '.join(tags)}" if tags else ""
-            if text and e["tag"] in (*HEADINGS, *BLOCKS, "a", "skill"):
+            if text and e["tag"] in (*HEADINGS, *BLOCKS, "a", "skill") or blanks and e["tag"] in HEADINGS:
                 rows.append((e["tag"], text, e["anchor"] or self.first or DEFAULT_ANCHOR, e["href"], e["in_block"]))
         rows.sort(key=lambda r: r[0] != "skill")  # skill cells lead
         return [(i, *r) for i, r in enumerate(rows)]
 
 
-def elements(pages: DataFrame) -> DataFrame:
-    """(page_id, ord, tag, text, anchor, href, in_block) of every page, in document order after its skill cells. One scan, no shuffle."""
+def elements(pages: DataFrame, references: tuple[str, ...] | None = None, blanks: bool = False) -> DataFrame:
+    """(page_id, ord, tag, text, anchor, href, in_block) of every page, in document order after its skill cells. One scan, no shuffle.
+
+    references: the only character references to decode, closed by a semicolon; all others stay as they stand, as do
+    those that are cut off. By default all are decoded as browsers do, cut off or not. blanks keeps headings without text.
+    """
+    other = re.compile(f"&(?!(?:{'|'.join(map(re.escape, references))});)") if references else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for page, html in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 walk = Walk()
-                walk.feed(html.as_py() or "")
+                text = html.as_py() or ""
+                walk.feed(other.sub("&amp;", text) if other else text)
                 walk.close()
-                rows += [(page, *e) for e in walk.elements()]
+                rows += [(page, *e) for e in walk.elements(blanks)]
             cols = list(zip(*rows, strict=True)) or [[]] * 7
             kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["page_id", "ord", "tag", "text", "anchor", "href", "in_block"])
