@@ -141,3 +141,13 @@ def test_headings_keep_cut_references_and_count_blanks(spark, tmp_path):
     got = [(r["page_id"], r["n"], r["text"]) for r in queries.page_headings(spark, str(tmp_path)).orderBy("page_id", "n").collect()]
     assert got == [(1, 0, "a&&amp"), (2, 0, "b<''\"> &am"), (2, 2, "&lt; &nbsp; &copy &#38; &")]
     assert html.elements(spark.createDataFrame(rows[:1], "page_id long, html string")).first()["text"] == "a&&"
+
+
+def test_texts_whose_tokens_cancel_have_unit_vectors(spark, tmp_path):
+    sign = lambda w: 1 - 2 * (zlib.crc32(w.encode()) & 1)
+    place = lambda w: (zlib.crc32(w.encode()) >> 1) % 64
+    one = "w0"
+    other = next(w for w in (f"w{i}" for i in range(10000)) if place(w) == place(one) and sign(w) != sign(one))
+    rows = [(1, f"{one} {other}"), (2, one), (3, "é ."), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: (r["n"], r["norm"]) for r in queries.embedded_texts(spark, str(tmp_path)).collect()} == {1: (64, 1.0), 2: (64, 1.0), 3: (64, 0.0), 4: (64, 0.0)}

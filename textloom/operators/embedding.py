@@ -13,7 +13,10 @@ Model = Callable[[list[str]], np.ndarray]
 
 
 def hashing_model(width: int = 384) -> Model:
-    """A stand-in where no trained model is at hand: signed counts of hashed tokens."""
+    """A stand-in where no trained model is at hand: signed counts of hashed tokens; where they all cancel out, plain counts.
+
+    So only a text without tokens has the zero vector.
+    """
     import re
     import zlib
 
@@ -25,6 +28,9 @@ def hashing_model(width: int = 384) -> Model:
             for w in word.findall(t.lower()):
                 h = zlib.crc32(w.encode())
                 out[i, (h >> 1) % width] += 1 - 2 * (h & 1)
+            if not out[i].any():
+                for w in word.findall(t.lower()):
+                    out[i, (zlib.crc32(w.encode()) >> 1) % width] += 1
         return out
 
     return encode
