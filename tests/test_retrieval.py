@@ -81,3 +81,20 @@ def test_empty_tables(spark):
     c, q = spark.createDataFrame([], CHUNK), spark.createDataFrame([(1, "a", [1.0])], QUERY)
     assert retrieval.retrieve(c, q).count() == 0
     assert retrieval.vector_topk(c, spark.createDataFrame([], QUERY)).count() == 0
+
+
+def test_keyword_words_are_stemmed_once_and_meet_by_the_rarest(spark):
+    chunks = spark.createDataFrame([(1, "Engines engine the builds"), (2, "engine engine"), (3, "build engines built"), (4, None), (5, "building of engines engines")], "chunk_id long, content string")
+    asked = spark.createDataFrame([(1, "what is the building of engines"), (2, "the of"), (3, "engine nowhere"), (4, "engines"), (5, None)], "query_id long, q_text string")
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(t):
+        seen.add(1)
+        return t.removesuffix("ing").removesuffix("s")
+
+    many = chunks.union(spark.range(100, 200).select("id", F.repeat(F.lit("filler "), 50)))
+    got = retrieval.keyword_topk(many, asked, normalise=counted, stop=["the", "of", "is", "what"])
+    rows = [tuple(r) for r in got.orderBy("query_id", "kw_rank").collect()]
+    assert rows == [(1, 1, 3, 1), (1, 5, 3, 2), (1, 3, 2, 3), (4, 2, 2, 1), (4, 1, 2, 2), (4, 5, 2, 3), (4, 3, 1, 4)]
+    assert seen.value < 200

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from textloom.config import DEFAULT, EXTERNAL, PRIMARY, Settings
 from textloom.functions.text import let, sentences, tokens
+from textloom.scratch import Scratch
 
 BLOCK = 4096
 
@@ -77,17 +78,27 @@ def vector_topk(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT.pool) ->
 def keyword_topk(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT.keyword_limit, normalise=None, stop: list[str] | None = None, most: int = 1_000_000) -> DataFrame:
     """(query_id, chunk_id, hits, kw_rank): chunks that hold every term of a query, most occurrences first,
     then shorter, then by id. An inverted-index join on terms; normalise may stem a column of terms, and
-    stop words count on neither side. Chunks meet the distinct terms of all queries first (broadcast if
-    there are at most `most`), so only asked terms are counted and shuffled."""
+    stop words count on neither side. Chunks meet the asked words of all queries first (broadcast if
+    there are at most `most`), so only asked terms are counted and written. Each distinct word is normalised
+    once, and a query meets only the chunks that hold its rarest term."""
+    scratch = Scratch(chunks.sparkSession, "keywords")
+    kept = lambda t: ~t.isin(stop) if stop else F.lit(True)
     term = normalise or (lambda c: c)
-    words = lambda c: F.filter(tokens(c), lambda w: ~w.isin(stop)) if stop else tokens(c)
-    q = queries.select("query_id", F.explode(F.array_distinct(words(F.col("q_text")))).alias("t")).select("query_id", term(F.col("t")).alias("term")).distinct()
-    need = q.groupBy("query_id").agg(F.count("*").alias("need"))
-    wanted = q.select("term").distinct()
-    wanted = F.broadcast(wanted) if wanted.count() <= most else wanted
-    c = chunks.select("chunk_id", F.length("content").alias("len"), F.explode(words(F.col("content"))).alias("t")).select("chunk_id", "len", term(F.col("t")).alias("term"))
-    tf = c.join(wanted, "term", "left_semi").groupBy("chunk_id", "len", "term").agg(F.count("*").alias("tf"))
-    met = tf.join(q, "term").groupBy("query_id", "chunk_id", "len").agg(F.count("*").alias("n"), F.sum("tf").alias("hits")).join(need, "query_id").where("n = need")
+    q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("q_text")))).alias("t")).where(kept(F.col("t"))).select("query_id", term(F.col("t")).alias("term")).distinct()
+    asked = q.select("term").distinct()
+    # Lengths are taken before words become rows: afterwards each word would measure its whole chunk.
+    c = chunks.select("chunk_id", F.length("content").alias("len"), tokens(F.col("content")).alias("w")).select("chunk_id", "len", F.explode("w").alias("t"))
+    if normalise:
+        forms = scratch.save(c.select("t").where(kept(F.col("t"))).distinct().select("t", term(F.col("t")).alias("term")), "forms")
+        asked = forms.join(asked, "term")
+    else:
+        asked = asked.withColumn("t", F.col("term"))
+    asked = F.broadcast(asked) if asked.count() <= most else asked
+    tf = scratch.save(c.join(asked, "t").groupBy("chunk_id", "len", "term").agg(F.count("*").alias("tf")), "tf")
+    held = q.join(tf.groupBy("term").agg(F.count("*").alias("df")), "term", "left")
+    lead = held.groupBy("query_id").agg(F.count("*").alias("need"), F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term"))["term"].alias("term"))
+    near = tf.join(lead, "term").select("query_id", "need", "chunk_id", "len").join(q, "query_id")
+    met = near.join(tf, ["chunk_id", "len", "term"]).groupBy("query_id", "need", "chunk_id", "len").agg(F.count("*").alias("n"), F.sum("tf").alias("hits")).where("n = need")
     w = Window.partitionBy("query_id").orderBy(F.desc("hits"), "len", "chunk_id")
     return met.withColumn("kw_rank", F.row_number().over(w)).where(F.col("kw_rank") <= k).select("query_id", "chunk_id", "hits", "kw_rank")
 
